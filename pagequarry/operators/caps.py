@@ -1,0 +1,81 @@
+"""Capping rows per contributor, at one level or at nested ones."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Cap:
+    """At most `most` rows, or at most `share` of the level's rows (rounded down, 1 at least), for each value of `by`.
+
+    Rows whose `exempt` column is true are not counted and never dropped at this level.
+    """
+
+    by: Sequence[str]
+    most: int | None = None
+    share: float | None = None
+
+    def __post_init__(self) -> None:
+        if (self.most is None) == (self.share is None):
+            raise ValueError("give either most or share")
+        if self.most is not None and self.most < 0 or self.share is not None and not 0 < self.share <= 1:
+            raise ValueError("most must be >= 0 and share within (0, 1]")
+
+
+def keep_best(rows: DataFrame, caps: Sequence[Cap], order: Sequence[Column]) -> DataFrame:
+    """The rows kept under nested caps, given from the innermost (author) to the outermost (parent organisation).
+
+    The caps form a laminar family if each level's groups lie inside the next one's; then taking the best rows by
+    `order` within each level in turn yields the best set that obeys all caps (greedy on a laminar matroid).
+    `order` must be total to make the choice unique; rows equal in it are chosen arbitrarily but never exceed a cap.
+    Null group values form a group of their own. An empty table stays empty.
+
+    A level with a fixed cap is a ranked window with a limit, which Spark cuts on the map side before the shuffle
+    (WindowGroupLimit): a group with a third of all rows sends at most `most` rows per map task. A level with a
+    share counts its groups first, by a partial aggregation, and cuts each group in salted slices before ranking.
+    """
+    for cap in caps:
+        by = list(cap.by)
+        if cap.most is not None:
+            rows = _ranked(rows, by, order).where(F.col("__rank") <= cap.most).drop("__rank")
+            continue
+        # Of each group: how many rows it may keep. Null-safe join, as null is a group too.
+        counts = rows.groupBy(*[F.col(b).alias(f"__g{i}") for i, b in enumerate(by)]).agg(
+            F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * cap.share)).cast("long").alias("__quota")
+        )
+        on = [rows[b].eqNullSafe(counts[f"__g{i}"]) for i, b in enumerate(by)]
+        rows = rows.join(counts, on, "inner").drop(*[f"__g{i}" for i in range(len(by))])
+        rows = _ranked(rows, by, order).where(F.col("__rank") <= F.col("__quota")).drop("__rank", "__quota")
+    return rows
+
+
+def _ranked(rows: DataFrame, by: list[str], order: Sequence[Column]) -> DataFrame:
+    return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def dropped(rows: DataFrame, kept: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows that keep_best left out, by their key; the key spreads evenly even where one contributor is huge."""
+    other = kept.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)])
+    same = [rows[k].eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(key)]
+    return rows.join(other, same, "left_anti")
+
+
+def cap_hits_per_page(hits: DataFrame, sections: DataFrame, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Of each query, at most `most` hits per page: the kept hits and the dropped ones.
+
+    Hits delivered again count once. Hits with no section row, and those on a section whose page is null or empty, are
+    in neither result. Higher score first, null scores last, then smaller path, then smaller sec_no.
+    """
+    key = ["query_id", "path", "sec_no"]
+    # One row of a hit, whatever was delivered: the best score seen of it.
+    hits = hits.groupBy(*key).agg(F.max("score").alias("score"))
+    paged = sections.where(F.col("page") != "").groupBy("path", "sec_no").agg(F.max("page").alias("page"))
+    rows = hits.join(paged, ["path", "sec_no"]).select(*key, "score", "page")
+    order = [F.col("score").desc_nulls_last(), F.col("path"), F.col("sec_no")]
+    kept = keep_best(rows, [Cap(["query_id", "page"], most=most)], order)
+    return kept, dropped(rows, kept, key)

@@ -1,0 +1,62 @@
+"""Queries of the core operators on oversized sections and dominant contributors, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagequarry.operators import caps, splitting
+from pagequarry.session import table
+
+
+def _capped(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return caps.cap_hits_per_page(table(spark, folder, "hits"), table(spark, folder, "sections"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _capped(spark, folder)[1].select("query_id", "path", "sec_no")
+
+
+def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return _capped(spark, folder)[0].select("query_id", "path", "sec_no", "score", "page")
+
+
+def p2_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Of all hits, at most 2 per query and page, then 30 per page, then a fifth of each docset's rest."""
+    kept = _capped(spark, folder)[0].withColumn("docset", F.split("path", "/")[0])
+    order = [F.col("score").desc_nulls_last(), F.col("path"), F.col("sec_no"), F.col("query_id")]
+    levels = [caps.Cap(["docset", "page"], most=30), caps.Cap(["docset"], share=0.2)]
+    return caps.keep_best(kept, levels, order).select("query_id", "path", "sec_no", "docset", "score")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_pieces(spark, folder).where(F.col("n_pieces") > 1).select("path", "sec_no").distinct()
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_pieces(table(spark, folder, "sections"), "body", ["path", "sec_no"])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p2_nested, p4_found, p4_pieces)}
+
+_PAGED = """
+WITH h AS (SELECT query_id, path, sec_no, max(score) AS score FROM hits GROUP BY ALL),
+     s AS (SELECT path, sec_no, max(page) AS page FROM sections WHERE page <> '' GROUP BY ALL),
+     r AS (SELECT h.*, s.page, row_number() OVER (PARTITION BY query_id, page
+                  ORDER BY score DESC NULLS LAST, path, sec_no) AS n
+           FROM h JOIN s USING (path, sec_no))
+"""
+
+ORACLES = {
+    "p2_found": _PAGED + "SELECT query_id, path, sec_no FROM r WHERE n > 2",
+    "p2_kept": _PAGED + "SELECT query_id, path, sec_no, score, page FROM r WHERE n <= 2",
+    "p2_nested": _PAGED
+    + """, a AS (SELECT *, split_part(path, '/', 1) AS docset FROM r WHERE n <= 2),
+     b AS (SELECT *, row_number() OVER (PARTITION BY docset, page
+                  ORDER BY score DESC NULLS LAST, path, sec_no, query_id) AS m FROM a),
+     c AS (SELECT *, row_number() OVER (PARTITION BY docset
+                  ORDER BY score DESC NULLS LAST, path, sec_no, query_id) AS k,
+                  count(*) OVER (PARTITION BY docset) AS total FROM b WHERE m <= 30)
+    SELECT query_id, path, sec_no, docset, score FROM c WHERE k <= greatest(1, floor(total * 0.2))""",
+    "p4_found": "SELECT DISTINCT path, sec_no FROM sections WHERE length(body) > 4000",
+}
