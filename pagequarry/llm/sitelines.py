@@ -200,7 +200,7 @@ def repeated_lines(
     pages_of = numbered.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
     counts = bitmaps.groupBy("form", "source").agg(F.sum("n").alias("pages"))
     frequent = counts.where(F.col("pages") >= params.least_pages).join(pages_of, "source").where(
-        F.col("pages") >= F.col("of") * F.lit(params.share)
+        F.col("pages") >= F.col("of") * params.share - 1e-9
     ).select("form", "pages")
     kept = bitmaps.join(frequent, "form").select("form", "bucket", "bitmap", "pages")
     return _looked_up(placed, kept)
