@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import leakage, mojibake, packing, sitelines
+from pagequarry.llm import confusables, leakage, mojibake, packing, sitelines, truncation
 from pagequarry.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_cut(spark, folder).select("path").distinct()
+
+
+def p1_cut(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_texts(table(spark, folder, "pages"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_report(table(spark, folder, "pages"), p1_cut(spark, folder))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_forms(spark, folder).select("path", "sec_no").distinct()
+
+
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return confusables.look_alikes(table(spark, folder, "sections"))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return confusables.equal_looking(table(spark, folder, "sections"), "heading")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sitelines.repeated_lines(table(spark, folder, "pages")).select("path", "line_no")
 
