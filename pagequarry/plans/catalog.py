@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.plans import caps
+from pagequarry.plans import caps, retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**caps.QUERIES}
+    return {**retrieval.QUERIES, **caps.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**caps.ORACLES}
+    return {**retrieval.ORACLES, **caps.ORACLES}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,3 +32,18 @@ def content_bytes(df: DataFrame, column: str) -> int:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, so that it needn't be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_pagequarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # The driver's own session folder: executors fetch the file from the driver, and Spark removes it at the end.
+    archive = Path(context._temp_dir, f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path(root.name, file.relative_to(root)))
+    context.addPyFile(str(archive))
+    context._pagequarry_shipped = True
