@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.session import shared_checkpoint
+
 
 @dataclass(frozen=True)
 class CutParams:
@@ -213,7 +215,8 @@ def cut_texts(
     Null and blank bodies aren't cut; a null source is one source of its own; repeated rows count once; a null path is
     left out. Whole texts are read; what is shuffled is a hash and a state for each of a text's last lines.
     """
-    examined = _examined(texts, path, source, body, params)
+    # Read five times below, and small: so written once.
+    examined = shared_checkpoint(_examined(texts, path, source, body, params))
     last = examined.select("source", "path", F.explode(F.array_distinct("forms")).alias("form")).where("form <> 0")
     stands = last.groupBy("source", "form").agg(F.count(F.lit(1)).alias("n"))
     sizes = examined.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
