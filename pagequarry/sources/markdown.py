@@ -145,7 +145,7 @@ def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
 def load_corpus_table(spark: SparkSession, path: str) -> DataFrame:
     """Pages of any path that Spark can read (object stores too), where no name starts with an underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(path)
-    root = F.lit(path.rstrip("/") + "/")
+    root = path.rstrip("/") + "/"
     inside = F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), root, -1)
     hidden = F.col("path").rlike(r"/\.[^/]")
     text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path")))
