@@ -218,13 +218,14 @@ def restore(model: PairModel, text: str, before: str, after: str, params: Garble
         for name, pattern, bytes_of in _utf8_inverses():
             new = pattern.sub(lambda m, b=bytes_of: _decoded(m.group(), b), now)
             if new != now:
-                value = model.bits(before + new + after) / (len(new) + 1)
+                # A byte-order mark may stand before anything.
+                value = model.bits((before + new + after).replace("\ufeff", "")) / (len(new) + 1)
                 # The mapping that takes up most bytes; of equal ones, the better text.
                 if best is None or (len(new), -value) < (len(best[1]), -best[0]):
                     best = (value, new, name)
         # Where bytes of UTF-8 fit throughout, what they give may need another round; else a mapping must gain at once.
         strict = best is not None and 2 * _beyond(best[1]) <= 1.1 * _beyond(now)
-        if not strict:
+        if not strict and not names:
             value, name, table = _best_byte_inverse(model, before + now + after, len(now) + 1)
             if best is None or value > best[0]:
                 best = (value, now.translate(table), name)
