@@ -81,7 +81,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+# Lines outside of code, by a fold over each page's lines, and their compared forms.
+_LINES = """
+WITH p AS (SELECT DISTINCT docset, path, string_split(body, chr(10)) AS ls FROM pages),
+f AS (SELECT docset, path, ls, list_reduce(list_transform(ls, lambda x: left(trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)), 3)), lambda a, h:
+        CASE WHEN a.o = '' AND h IN (chr(96) || chr(96) || chr(96), '~~~') THEN {'o': h, 'c': list_append(a.c, true)}
+             WHEN a.o <> '' THEN {'o': CASE WHEN h = a.o THEN '' ELSE a.o END, 'c': list_append(a.c, true)}
+             ELSE {'o': '', 'c': list_append(a.c, false)} END, {'o': '', 'c': []::BOOLEAN[]}).c AS code FROM p),
+l AS (SELECT docset, path, unnest(ls) AS line, unnest(code) AS code, generate_subscripts(ls, 1) AS line_no FROM f),
+c AS (SELECT docset, path, line_no, regexp_replace(lower(regexp_replace(regexp_replace(line, '[\\s\\x0b\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'), '^ | $', '', 'g')), '[0-9]+', '0', 'g') AS form
+      FROM l WHERE NOT code),
+k AS (SELECT * FROM c WHERE length(form) >= 25 AND form[1] NOT IN ('#', '|')),
+z AS (SELECT docset, count(DISTINCT path) AS of FROM pages GROUP BY docset),
+n AS (SELECT docset, form FROM k JOIN z USING (docset) GROUP BY docset, form, of HAVING count(DISTINCT path) >= 3 AND count(DISTINCT path) * 20 >= of)
+"""
+
+# Runs of 13 words.
+_RUNS = """
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 11)), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM d),
+bg AS (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 11)), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM b)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _LINES + "SELECT DISTINCT path, line_no::INT AS line_no FROM k JOIN n USING (docset, form)",
         "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
+        "p7_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)",
     }
