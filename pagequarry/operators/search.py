@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import matching as M
 from pagequarry.params import EmptyQuery, InvalidParam, RankingParams
+from pagequarry.session import shared_checkpoint
 
 #: Bytes of keywords and phrases that one pass over the sections looks for.
 NEEDLE_BYTES = 8 << 20
@@ -46,7 +47,8 @@ def term_flags(word: str, params: RankingParams) -> dict[str, Column]:
     return {
         "occ": occ, "whole": (occ > 0) & (M.whole_words(body, word) > 0),
         "heading": F.contains("heading_n", needle), "crumb": F.contains("crumb_n", needle),
-        "page_word": paged & (M.whole_words(F.col("page_n"), word) > 0), "page_sub": F.contains("page_n", needle),
+        "page_word": paged & F.contains("page_n", needle) & (M.whole_words(F.col("page_n"), word) > 0),
+        "page_sub": F.contains("page_n", needle),
         "line": paged & (occ > 0) & M.starts_a_line(body, word),
     }
 
@@ -172,8 +174,8 @@ def _needle_blocks(terms: DataFrame) -> Iterator[dict[str, set[str]]]:
 def needle_matches(sections: DataFrame, terms: DataFrame, params: RankingParams = RankingParams()) -> DataFrame:
     """Every needle that a prepared section of an asking scope has somewhere: scope, path, sec_no, needle and flags.
 
-    Each section is read once for all needles, by an Aho-Corasick automaton over a block of them; the work grows with
-    text and matches, not with queries times sections, and a larger query set takes more passes, not more memory.
+    Each section is read once for all needles of a block; the work grows with text and matches, not with queries times
+    sections, and a larger query set takes more passes, not more memory.
     """
     spark = sections.sparkSession
     fields = "scope string, path string, sec_no int, needle string, occ int, whole boolean, line boolean, heading boolean, crumb boolean, page_word boolean, page_sub boolean, title boolean"  # noqa: E501
@@ -206,71 +208,72 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 class NeedleScan:
-    """Finds needles in sections. Without the automaton's library, every needle of a section's scope is looked up."""
-
-    def __init__(self, needles: dict[str, set[str]], cap: int) -> None:
-        self.needles, self.cap = needles, cap
-        try:
-            import ahocorasick
-        except ImportError:
-            self.automaton = None
-            self.by_scope: dict[str, list[str]] = {}
-            for needle, scopes in needles.items():
-                for scope in scopes:
-                    self.by_scope.setdefault(scope, []).append(needle)
-        else:
-            self.automaton = ahocorasick.Automaton()
-            for needle in needles:
-                self.automaton.add_word(needle, needle)
-            self.automaton.make_automaton()
-
-    def _places(self, text: str, scope: str) -> dict[str, list[int]]:
-        """Of each needle in a text: where its non-overlapping occurrences start, from the left."""
-        out: dict[str, list[int]] = {}
-        if self.automaton is None:
-            for needle in self.by_scope.get(scope, ()):
-                at = text.find(needle)
-                while at >= 0:
-                    out.setdefault(needle, []).append(at)
-                    at = text.find(needle, at + len(needle))
-            return out
-        for end, needle in self.automaton.iter(text):
-            begin = end + 1 - len(needle)
-            if scope in self.needles[needle]:
-                places = out.setdefault(needle, [])
-                if not places or begin >= places[-1] + len(needle):
-                    places.append(begin)
-        return out
+    """Finds a scope's needles in its sections: one by one where they are few, else by an automaton over all of them."""
+
+    #: Needles of a scope up to which looking for each is faster.
+    FEW = 300
+
+    def __init__(self, needles: dict[str, set[str]], cap: int, few: int = FEW) -> None:
+        self.cap, self.few = cap, few
+        self.by_scope: dict[str, list[str]] = {}
+        for needle, scopes in needles.items():
+            for scope in scopes:
+                self.by_scope.setdefault(scope, []).append(needle)
+        self.automata: dict[str, object] = {}
+
+    def _automaton(self, scope: str):
+        if scope not in self.automata:
+            try:
+                import ahocorasick
+            except ImportError:
+                self.automata[scope] = None
+            else:
+                automaton = ahocorasick.Automaton()
+                for needle in self.by_scope[scope]:
+                    automaton.add_word(needle, needle)
+                automaton.make_automaton()
+                self.automata[scope] = automaton
+        return self.automata[scope]
+
+    def _present(self, text: str, scope: str) -> set[str]:
+        needles = self.by_scope.get(scope, ())
+        if len(needles) > self.few and (automaton := self._automaton(scope)) is not None:
+            return {needle for _, needle in automaton.iter(text)}
+        return {n for n in needles if n in text}
 
     def of(self, scope: str, path: str, sec_no: int, body: str, heading: str, crumb: str, page: str) -> list[tuple]:
-        places = [self._places(t, scope) for t in (body, heading, crumb, page)]
         rows = []
-        for needle in {n for found in places for n in found}:
-            size = len(needle)
-            spots = places[0].get(needle, ())
-            in_page = places[3].get(needle, ())
+        # No needle has a line end in it, so none is found across fields.
+        for needle in self._present(f"{body}\n{heading}\n{crumb}\n{page}", scope):
+            n = body.count(needle)
+            in_page = needle in page
             rows.append((
-                scope, path, sec_no, needle, min(self.cap, len(spots)),
-                any(M.is_whole(body, b, b + size) for b in spots),
-                bool(page) and _defines(body, needle, spots),
-                needle in places[1], needle in places[2], any(M.is_whole(page, b, b + size) for b in in_page),
-                bool(in_page), heading.startswith(needle),
+                scope, path, sec_no, needle, min(self.cap, n), n > 0 and _any_whole(body, needle),
+                n > 0 and bool(page) and _defines(body, needle), needle in heading, needle in crumb,
+                in_page and _any_whole(page, needle), in_page, heading.startswith(needle),
             ))
         return rows
 
 
-def _defines(body: str, needle: str, spots) -> bool:
-    if any(M.line_start(body, b) for b in spots):
-        return True
-    # An occurrence that overlaps one counted before isn't among the spots, but may start a line's rest.
-    return bool(spots) and len(needle) > 1 and any(M.line_start(body, b) for b in _all_places(body, needle))
+def _any_whole(text: str, needle: str) -> bool:
+    """Whether any of the non-overlapping occurrences from the left is a whole word."""
+    at, size = text.find(needle), len(needle)
+    while at >= 0:
+        if M.is_whole(text, at, at + size):
+            return True
+        at = text.find(needle, at + size)
+    return False
 
 
-def _all_places(text: str, needle: str) -> Iterator[int]:
+def _defines(text: str, needle: str) -> bool:
+    """Whether a line starts with the needle; occurrences that overlap one before count here too."""
     at = text.find(needle)
     while at >= 0:
-        yield at
+        before = text[at - 1] if at else "\n"
+        if (before in M.LINE_LEADS or before.isspace()) and M.line_start(text, at):
+            return True
         at = text.find(needle, at + 1)
+    return False
 
 
 def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams = RankingParams()) -> DataFrame:
@@ -280,7 +283,8 @@ def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams
     frequencies are counted by docset and keyword. Sums over keywords run in the keywords' order.
     """
     terms = query_terms(queries, params)
-    found = needle_matches(sections, terms, params)
+    # Read three times below.
+    found = shared_checkpoint(needle_matches(sections, terms, params))
     counts = sections.groupBy(F.col("docset").alias("scope")).agg(F.count(F.lit(1)).alias("n"))
     df = found.where(F.col("occ") > 0).groupBy("scope", "needle").agg(F.count(F.lit(1)).alias("df"))
     words = terms.select("query_id", "scope", F.posexplode("words").alias("pos", "needle"))
