@@ -277,7 +277,8 @@ def _defines(text: str, needle: str) -> bool:
 
 
 def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams = RankingParams()) -> DataFrame:
-    """query_id, path, sec_no, score: every section of a query's docset that matches it, by the scores of `scored`.
+    """query_id, path, sec_no, page, __same, score: every section of a query's docset that matches it, by the scores of
+    `scored`; __same is a hash of what makes two sections equal.
 
     Matches of (docset, keyword) are joined with the queries' terms, so pairs without a match never exist. Document
     frequencies are counted by docset and keyword. Sums over keywords run in the keywords' order.
@@ -297,18 +298,22 @@ def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams
         "avg_w", F.aggregate("ws", F.lit(0.0), lambda a, x: a + x["w"]) / F.col("k")
     )
     flags = ["occ", "whole", "line", "heading", "crumb", "page_word", "page_sub", "title"]
-    hits = weighted.select("query_id", "scope", "pos", "needle", "w").join(found, ["scope", "needle"])
-    hits = hits.groupBy("query_id", "scope", "path", "sec_no").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "w", *flags))).alias("terms")
-    )
-    phrases = per_query.where("k > 1").select("query_id", "scope", F.array_join(F.transform("ws", lambda x: x["needle"]), " ").alias("needle"))
-    phrased = phrases.join(found.where((F.col("occ") > 0) | F.col("heading")), ["scope", "needle"]).select(
-        "query_id", "path", "sec_no", F.lit(True).alias("phrased")
+    # A phrase counts where body or heading has it; it comes along as a term before the first.
+    needle = F.array_join(F.transform("ws", lambda x: x["needle"]), " ").alias("needle")
+    phrases = per_query.where("k > 1").select("query_id", "scope", F.lit(-1).alias("pos"), needle, F.lit(0.0).alias("w"))
+    asked = weighted.select("query_id", "scope", "pos", "needle", "w").unionByName(phrases)
+    hits = asked.join(found, ["scope", "needle"]).where((F.col("pos") >= 0) | (F.col("occ") > 0) | F.col("heading"))
+    # A keyword's rows say of which sections of a query they are; sorted by pos, so that sums run in order.
+    hits = hits.groupBy("query_id", "path", "sec_no").agg(
+        F.max(F.col("pos") < 0).alias("phrased"),
+        F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "w", *flags)))).alias("terms"),
+    ).where(F.size("terms") > 0)
+    same = F.sha2(F.concat_ws("\0", "heading_n", M.unicode_trim(F.col("body_n"))), 256)
+    texts = sections.select("path", "sec_no", "level", "page", "stem", "body_bytes", "has_body", same.alias("__same"))
+    rows = hits.join(per_query.select("query_id", "ws", "k", "avg_w"), "query_id").join(texts, ["path", "sec_no"])
+    return rows.select("query_id", "path", "sec_no", "page", "__same", _batch_score(params).alias("score")).where(
+        F.col("score").isNotNull()
     )
-    rows = hits.join(per_query.select("query_id", "ws", "k", "avg_w"), "query_id").join(
-        phrased, ["query_id", "path", "sec_no"], "left"
-    ).join(sections.select("path", "sec_no", "level", "page", "stem", "body_bytes", "has_body"), ["path", "sec_no"])
-    return rows.select("query_id", "path", "sec_no", "page", _batch_score(params).alias("score")).where(F.col("score").isNotNull())
 
 
 def _batch_score(p: RankingParams) -> Column:
@@ -351,8 +356,6 @@ def batch_search(
     if top_k < 1:
         raise InvalidParam("top_k")
     hits = batch_scored(queries, sections, params)
-    same = F.sha2(F.concat_ws("\0", "heading_n", M.unicode_trim(F.col("body_n"))), 256)
-    hits = hits.join(sections.select("path", "sec_no", same.alias("__same")), ["path", "sec_no"])
     best = F.row_number().over(Window.partitionBy("query_id", "__same").orderBy(*_best_first()))
     hits = hits.withColumn("__rank", best).where("__rank = 1").drop("__rank", "__same")
     hits = capped(hits, params.max_sections_per_page, ("query_id",))
