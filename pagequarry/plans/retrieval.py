@@ -326,7 +326,7 @@ def _query_table(text: str, paged: bool = True) -> list[str]:
 
 def _hits(text: str, k: int) -> str:
     return sql.with_(*_query_table(text)) + f"""
-    SELECT row_number() OVER (ORDER BY score DESC, path, sec_no) AS rank, round(score, 6) AS score, path, sec_no
+    SELECT (row_number() OVER (ORDER BY score DESC, path, sec_no))::INT AS rank, round(score, 6) AS score, path, sec_no
     FROM c ORDER BY score DESC, path, sec_no LIMIT {k}"""
 
 
@@ -383,20 +383,20 @@ ORACLES = {
     "section_slices_udtf": f"SELECT path, sec_no, heading, range_start FROM ({_ONE_SECTION})",
     "section_breadcrumbs": f"SELECT path, sec_no, array_to_string(breadcrumb, ' > ') AS breadcrumb FROM ({_ONE_SECTION})",
     "bare_headings": f"SELECT path, sec_no, heading FROM ({_ONE_SECTION}) WHERE NOT has_body",
-    "keyword_analysis": sql.with_(sql.QUERIES) + "SELECT query_id, array_to_string(words, ' ') AS phrase, len(words) AS n FROM ql",
+    "keyword_analysis": sql.with_(sql.QUERIES) + "SELECT query_id, array_to_string(words, ' ') AS phrase, len(words)::INT AS n FROM ql",
     "fold_diacritics": f"SELECT DISTINCT path, sec_no, translate(lower(heading), '{M.FOLD_FROM}', '{M.FOLD_TO}') AS folded FROM sections",
-    "term_matches": sql.with_(sql.QUERIES, sql.SECTIONS, sql.MATCHES) + """SELECT docset, needle, sum(occ)::BIGINT AS occurrences, count_if(occ > 0) AS df,
-        count_if(whole) AS whole, count_if(line) AS line, count_if(heading) AS heading, count_if(crumb) AS crumb, count_if(page_word) AS page_word,
-        count_if(page_sub) AS page_sub, count_if(title) AS title FROM m GROUP BY ALL""",
-    "occurrence_count": _PREPARED + "SELECT path, sec_no, least(20, len(string_split(b, 'cache')) - 1) AS occ FROM s WHERE contains(b, 'cache')",
-    "whole_word_count": _PREPARED + f"SELECT path, sec_no, {sql.whole_list('b', chr(39) + 'cache' + chr(39))} AS whole FROM s WHERE contains(b, 'cache')",
+    "term_matches": sql.with_(sql.QUERIES, sql.SECTIONS, sql.MATCHES) + """SELECT docset, needle, sum(occ)::BIGINT AS occurrences, count_if(occ > 0)::BIGINT AS df,
+        count_if(whole)::BIGINT AS whole, count_if(line)::BIGINT AS line, count_if(heading)::BIGINT AS heading, count_if(crumb)::BIGINT AS crumb, count_if(page_word)::BIGINT AS page_word,
+        count_if(page_sub)::BIGINT AS page_sub, count_if(title)::BIGINT AS title FROM m GROUP BY ALL""",
+    "occurrence_count": _PREPARED + "SELECT path, sec_no, least(20, len(string_split(b, 'cache')) - 1)::INT AS occ FROM s WHERE contains(b, 'cache')",
+    "whole_word_count": _PREPARED + f"SELECT path, sec_no, {sql.whole_list('b', chr(39) + 'cache' + chr(39))}::INT AS whole FROM s WHERE contains(b, 'cache')",
     "definition_lines": _PREPARED + f"SELECT path, sec_no FROM s WHERE page <> '' AND contains(b, 'cache') AND {sql.starts_line('b', chr(39) + 'cache' + chr(39))}",
     "phrase_match": _PREPARED + f"SELECT path, sec_no FROM s WHERE contains(h, '{ONE}') OR contains(b, '{ONE}')",
     "title_prefix": _PREPARED + "SELECT path, sec_no, h AS heading_n FROM s WHERE level <= 2 AND starts_with(h, 'cache')",
     "stem_match": sql.with_(sql.QUERIES, sql.SECTIONS) + """SELECT DISTINCT query_id, page FROM ql JOIN s USING (docset) WHERE page <> '' AND
         list_contains([array_to_string(words, ''), array_to_string(words, '-'), array_to_string(words, '_'), array_to_string(words, '.'), array_to_string(words, ' ')], stem)""",
-    "document_frequency": _PREPARED + """SELECT count(*) AS n, count_if(contains(b, 'search')) AS df_0, count_if(contains(b, 'index')) AS df_1,
-        count_if(contains(b, 'first')) AS df_2 FROM s""",
+    "document_frequency": _PREPARED + """SELECT count(*) AS n, count_if(contains(b, 'search'))::BIGINT AS df_0, count_if(contains(b, 'index'))::BIGINT AS df_1,
+        count_if(contains(b, 'first'))::BIGINT AS df_2 FROM s""",
     "idf_weights": _PREPARED + "SELECT " + ", ".join(
         f"round(greatest(ln((count(*) + 1.0::DOUBLE) / (count_if(contains(b, '{w}')) + 1)), 0.25::DOUBLE), 6) AS w{i}"
         for i, w in enumerate(("search", "index", "first"))) + " FROM s",
@@ -409,13 +409,13 @@ ORACLES = {
     "search_or_coverage": _hits(f"cache {NONE}", 5),
     "search_no_match": _hits(NONE, 5),
     "batch_scores": sql.with_(*_BATCH) + "SELECT query_id, path, sec_no, round(score, 6) AS score FROM sc",
-    "batch_search": sql.with_(*_BATCH, _RANKED) + "SELECT query_id, rank, round(score, 6) AS score, path, sec_no FROM rk",
+    "batch_search": sql.with_(*_BATCH, _RANKED) + "SELECT query_id, rank::INT AS rank, round(score, 6) AS score, path, sec_no FROM rk",
     "expected_missing": sql.with_(_CASES) + """SELECT DISTINCT ex.case_id, ex.e AS expected FROM ex
         WHERE NOT EXISTS (SELECT 1 FROM gd WHERE gd.case_id = ex.case_id AND gd.e = ex.e)""",
-    "eval_ranks": _EVALUATED + "SELECT case_id, rank FROM rs",
+    "eval_ranks": _EVALUATED + "SELECT case_id, rank::INT AS rank FROM rs",
     "eval_misses": _EVALUATED + "SELECT case_id, docset, kind, returned FROM rs WHERE rank IS NULL OR rank > 1",
-    "eval_metrics": _EVALUATED + """SELECT docset, kind, count(*) AS cases, count_if(rank <= 1) AS hit1, count_if(rank <= 3) AS hit3,
-        count_if(rank <= 5) AS hit5, round(sum(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / rank ELSE 0 END) / count(*), 6) AS mrr5
+    "eval_metrics": _EVALUATED + """SELECT docset, kind, count(*) AS cases, count_if(rank <= 1)::BIGINT AS hit1, count_if(rank <= 3)::BIGINT AS hit3,
+        count_if(rank <= 5)::BIGINT AS hit5, round(sum(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / rank ELSE 0 END) / count(*), 6) AS mrr5
         FROM rs GROUP BY GROUPING SETS ((docset), (kind), ())""",
     "link_source": r"""SELECT DISTINCT '/docs/' || path AS link FROM pages WHERE path LIKE '%.md'""",
 }
