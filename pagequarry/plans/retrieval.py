@@ -363,6 +363,30 @@ rs AS (SELECT cs.case_id, any_value(cs.docset) AS docset, any_value(cs.kind) AS
 _EVALUATED = sql.with_(
     _CASES, "queries AS (SELECT case_id::VARCHAR AS query_id, query, docset FROM cs)", *_BATCH, _RANKED, _KEY, _EVAL
 )
+_FOLDED = sql.SECTIONS
+for _field in ("lower(coalesce(heading, ''))", "lower(coalesce(body, ''))", "lower(coalesce(array_to_string(breadcrumb, ' '), ''))", "lower(coalesce(page, ''))"):
+    _FOLDED = _FOLDED.replace(_field, f"translate({_field}, '{M.FOLD_FROM}', '{M.FOLD_TO}')")
+# Fences by a fold over lines: the open fence's character and length, and headings so far.
+_FENCES = r"""
+WITH l AS (SELECT DISTINCT path, body FROM pages WHERE body IS NOT NULL AND path IS NOT NULL),
+f AS (SELECT path, list_reduce(list_transform(string_split(body, chr(10)), lambda x: {'o': regexp_extract(x, '^ {0,3}(`{3,})[^`]*$', 1)
+        || regexp_extract(x, '^ {0,3}(~{3,}).*$', 1), 'r': regexp_extract(x, '^ {0,3}(`+|~+)\s*$', 1), 'h': regexp_matches(x, '^ {0,3}#{1,3} \S')}),
+        lambda a, x: CASE WHEN a.f = '' AND x.o <> '' THEN {'f': x.o[1], 'n': length(x.o), 'h': a.h}
+          WHEN a.f <> '' AND x.r <> '' AND x.r[1] = a.f AND length(x.r) >= a.n THEN {'f': '', 'n': 0::BIGINT, 'h': a.h}
+          WHEN a.f = '' AND x.h THEN {'f': '', 'n': 0::BIGINT, 'h': a.h + 1} ELSE a END, {'f': '', 'n': 0::BIGINT, 'h': 0}) AS a FROM l)
+SELECT DISTINCT path, a.f = '' AS balanced, a.h::INT AS headings FROM f"""
+# Lines with their backticks taken apart.
+_MIDLINE = r"""
+WITH t AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: rtrim(x, chr(13))) AS ls FROM documents),
+p AS (SELECT doc_id, text, ls, list_transform(ls, lambda x: {'l': x, 'i': regexp_extract(x, '^( {0,3})', 1), 'run': regexp_extract(x, '^ {0,3}(`*)', 1),
+        'rest': regexp_extract(x, '(?s)^ {0,3}`*(.*)$', 1), 'at': strpos(x, '```'), 'tail': ltrim(substr(x, strpos(x, '```')), '`')}) AS ps FROM t),
+q AS (SELECT doc_id, text, ls, list_transform(ps, lambda p: CASE WHEN starts_with(p.l, '    ') THEN [p.l]
+        WHEN length(p.run) > 3 AND NOT starts_with(p.rest, '|') THEN [p.i || '```' || p.rest]
+        WHEN length(p.run) >= 3 OR p.at = 0 THEN [p.l]
+        ELSE [rtrim(substr(p.l, 1, p.at - 1), ' ' || chr(9)), CASE WHEN contains(p.tail, '|') THEN rtrim('```' || string_split(p.tail, '|')[1], ' ' || chr(9))
+          ELSE '```' || p.tail END] END) AS fx FROM p),
+r AS (SELECT *, len(list_filter(range(1, len(ls) + 1), lambda i: len(fx[i]) > 1 OR fx[i][1] <> ls[i])) AS n FROM q)
+SELECT doc_id, sha256(CASE WHEN n > 0 THEN array_to_string(flatten(fx), chr(10)) ELSE text END) AS body_hash, coalesce(n, 0)::INT AS fixes FROM r"""
 _FRONT = r"(?s)\A---[^\S\n]*\n((?:.*?\n)?)(?:---|\.\.\.)[^\S\n]*(?:\n|\z)"
 _VALUE = (
     "list_filter(list_transform(regexp_extract_all(f, '(?m)^{0}:([^\\n]*)', 1), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\"'''))"
@@ -408,6 +432,13 @@ ORACLES = {
     "top_k_hits": _hits(ONE, 10),
     "search_or_coverage": _hits(f"cache {NONE}", 5),
     "search_no_match": _hits(NONE, 5),
+    "search_folded": sql.with_(
+        "queries AS (SELECT 'q' AS query_id, 'prereglage schema' AS query, 'all' AS docset)",
+        "sections AS (SELECT * REPLACE ('all' AS docset) FROM main.sections)", sql.QUERIES, _FOLDED, sql.MATCHES, sql.WEIGHTS, sql.SCORES, sql.LIMITS,
+    ) + """SELECT (row_number() OVER (ORDER BY score DESC, path, sec_no))::INT AS rank, round(score, 6) AS score, path, sec_no
+        FROM c ORDER BY score DESC, path, sec_no LIMIT 10""",
+    "fence_stats": _FENCES,
+    "midline_fence_fix": _MIDLINE,
     "batch_scores": sql.with_(*_BATCH) + "SELECT query_id, path, sec_no, round(score, 6) AS score FROM sc",
     "batch_search": sql.with_(*_BATCH, _RANKED) + "SELECT query_id, rank::INT AS rank, round(score, 6) AS score, path, sec_no FROM rk",
     "expected_missing": sql.with_(_CASES) + """SELECT DISTINCT ex.case_id, ex.e AS expected FROM ex
