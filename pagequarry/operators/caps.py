@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.session import shared_checkpoint
+
 
 @dataclass(frozen=True)
 class Cap:
@@ -37,23 +39,39 @@ def keep_best(rows: DataFrame, caps: Sequence[Cap], order: Sequence[Column]) ->
 
     A level with a fixed cap is a ranked window with a limit, which Spark cuts on the map side before the shuffle
     (WindowGroupLimit): a group with a third of all rows sends at most `most` rows per map task. A level with a
-    share counts its groups first, by a partial aggregation, and cuts each group in salted slices before ranking.
+    share keeps a part of every group, so its ranks are found in slices: rows are range-partitioned by group and order,
+    ranked within each slice, and moved up by the sizes of the group's slices before. No task gets a whole large group.
     """
     for cap in caps:
         by = list(cap.by)
         if cap.most is not None:
             rows = _ranked(rows, by, order).where(F.col("__rank") <= cap.most).drop("__rank")
-            continue
-        # Of each group: how many rows it may keep. Null-safe join, as null is a group too.
-        counts = rows.groupBy(*[F.col(b).alias(f"__g{i}") for i, b in enumerate(by)]).agg(
-            F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * cap.share)).cast("long").alias("__quota")
-        )
-        on = [rows[b].eqNullSafe(counts[f"__g{i}"]) for i, b in enumerate(by)]
-        rows = rows.join(counts, on, "inner").drop(*[f"__g{i}" for i in range(len(by))])
-        rows = _ranked(rows, by, order).where(F.col("__rank") <= F.col("__quota")).drop("__rank", "__quota")
+        else:
+            rows = _best_share(rows, by, order, cap.share)
     return rows
 
 
+def _best_share(rows: DataFrame, by: list[str], order: Sequence[Column], share: float) -> DataFrame:
+    names = rows.columns
+    # A rerun of the partitioning must not move rows between slices, so the slices are written.
+    sliced = shared_checkpoint(
+        rows.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("__slice", F.spark_partition_id())
+    )
+    local = F.row_number().over(Window.partitionBy("__slice", *by).orderBy(*order))
+    group = [F.col(b).alias(f"__g{i}") for i, b in enumerate(by)]
+    keys = [f"__g{i}" for i in range(len(by))]
+    sizes = sliced.groupBy(F.col("__slice").alias("__s"), *group).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*keys)
+    sizes = sizes.select(
+        "__s", *keys,
+        F.coalesce(F.sum("__n").over(whole.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.greatest(F.lit(1), F.floor(F.sum("__n").over(whole) * F.lit(share) + 1e-9)).alias("__quota"),
+    )
+    ranked = sliced.withColumn("__rank", local)
+    on = [ranked["__slice"] == sizes["__s"], *[ranked[b].eqNullSafe(sizes[k]) for b, k in zip(by, keys)]]
+    return ranked.join(sizes, on).where(F.col("__rank") + F.col("__before") <= F.col("__quota")).select(*[ranked[c] for c in names])
+
+
 def _ranked(rows: DataFrame, by: list[str], order: Sequence[Column]) -> DataFrame:
     return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 

@@ -45,6 +45,17 @@ def test_shares_nulls_and_ties(spark):
             Cap(["x"], **bad)
 
 
+def test_shares_of_a_large_group(spark):
+    rng = random.Random(11)
+    data = [(i, "hot" if i % 3 else f"a{i % 7}", rng.choice([None, 0.1, 0.2, 0.5])) for i in range(3000)]
+    df = spark.createDataFrame(data, "id int, author string, score double").repartition(6)
+    groups = {}
+    for i, a, s in data:
+        groups.setdefault(a, []).append((s is None, -(s or 0), i))
+    want = sorted(x[2] for g in groups.values() for x in sorted(g)[: max(1, len(g) * 3 // 10)])
+    assert rows_of(keep_best(df, [Cap(["author"], share=0.3)], order())) == want
+
+
 def test_hits_per_page(spark):
     sections = spark.createDataFrame(
         [("a", 0, "P"), ("a", 1, "P"), ("a", 2, "P"), ("a", 2, "P"), ("s", 0, ""), ("n", 0, None)], "path string, sec_no int, page string"
