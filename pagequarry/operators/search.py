@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import matching as M
 from pagequarry.params import EmptyQuery, InvalidParam, RankingParams
-from pagequarry.session import shared_checkpoint
+from pagequarry.session import BROADCAST_BYTES, shared_checkpoint
 
 #: Bytes of keywords and phrases that one pass over the sections looks for.
 NEEDLE_BYTES = 8 << 20
@@ -302,7 +302,12 @@ def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams
     needle = F.array_join(F.transform("ws", lambda x: x["needle"]), " ").alias("needle")
     phrases = per_query.where("k > 1").select("query_id", "scope", F.lit(-1).alias("pos"), needle, F.lit(0.0).alias("w"))
     asked = weighted.select("query_id", "scope", "pos", "needle", "w").unionByName(phrases)
-    hits = asked.join(found, ["scope", "needle"]).where((F.col("pos") >= 0) | (F.col("occ") > 0) | F.col("heading"))
+    # The join multiplies rows, so it should run where the matches are, spread evenly: the queries' terms go there, if
+    # their size allows; else both sides are shuffled, and adaptive execution splits what is skewed.
+    size = F.sum(F.lit(64) * F.size("words") + 2 * F.octet_length(F.array_join("words", " ")) + F.octet_length("query_id"))
+    if (terms.agg(size.alias("n")).first().n or 0) <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
+    hits = found.join(asked, ["scope", "needle"]).where((F.col("pos") >= 0) | (F.col("occ") > 0) | F.col("heading"))
     # A keyword's rows say of which sections of a query they are; sorted by pos, so that sums run in order.
     hits = hits.groupBy("query_id", "path", "sec_no").agg(
         F.max(F.col("pos") < 0).alias("phrased"),
