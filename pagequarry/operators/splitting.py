@@ -20,7 +20,7 @@ class SplitParams:
 
     limit: int = 4000
     overlap: int = 200
-    #: A cut is sought in the last part of a piece: not before this share of the room a piece has for new text.
+    #: A cut is sought in the last part of a piece first: not before this share of the room a piece has for new text.
     reach: float = 0.5
     #: Tokens on either side of a boundary whose likeness is its cohesion.
     block_tokens: int = 80
@@ -106,8 +106,9 @@ def cut_points(text: str, params: SplitParams = SplitParams()) -> list[int]:
     """Where the pieces of a text end, in code points; the last is its length. One cut for a text within the limit.
 
     Within each size window the most natural kind of boundary that occurs is taken, and of its boundaries the deepest
-    valley of cohesion, of equal ones the last. A window without any boundary is cut at its end, but not between a
-    letter and its combining marks where that can be helped.
+    valley of cohesion, of equal ones the last. If the window has no boundary, the rest of the piece's new text before
+    it is searched in the same way. A piece without any boundary is cut at its end, but not between a letter and its
+    combining marks where that can be helped.
     """
     size, ends = len(text), []
     if size <= params.limit:
@@ -119,16 +120,7 @@ def cut_points(text: str, params: SplitParams = SplitParams()) -> list[int]:
         begun = start + (params.overlap if ends else 0)
         latest = start + params.limit
         earliest = begun + max(1, int((latest - begun) * params.reach))
-        chosen = 0
-        for boundary in BOUNDARIES:
-            # One character more is in sight, so that white space at the limit is seen; a match is used up to the limit.
-            found = {min(m.end(), latest) for m in boundary.finditer(text, earliest - 1, latest) if m.end() >= earliest}
-            if found:
-                cuts = sorted(found)
-                depths = cohesion.depths(cuts)
-                chosen = max(range(len(cuts)), key=lambda k: (depths[k], cuts[k]))
-                chosen = cuts[chosen]
-                break
+        chosen = _natural_cut(text, cohesion, earliest, latest, latest) or _natural_cut(text, cohesion, begun + 1, earliest - 1, latest)
         if not chosen:
             chosen = latest
             while chosen > earliest and _joins(text[chosen]):
@@ -138,6 +130,18 @@ def cut_points(text: str, params: SplitParams = SplitParams()) -> list[int]:
     return [*ends, size]
 
 
+def _natural_cut(text: str, cohesion: _Cohesion, first: int, last: int, limit: int) -> int:
+    """The best boundary in [first, last], 0 if none is there; a match that runs beyond the piece's limit is used up to it."""
+    for boundary in BOUNDARIES:
+        # One character more is in sight, so that white space at the limit is seen.
+        ends = (min(m.end(), limit) for m in boundary.finditer(text, first - 1, limit))
+        cuts = sorted({end for end in ends if first <= end <= last})
+        if cuts:
+            depths = cohesion.depths(cuts)
+            return cuts[max(range(len(cuts)), key=lambda k: (depths[k], cuts[k]))]
+    return 0
+
+
 def _joins(ch: str) -> bool:
     return unicodedata.combining(ch) != 0 or ch in "\u200d\ufe0f"
 

@@ -97,6 +97,17 @@ def test_cuts_lose_nothing_and_are_natural(sep, text):
             assert any(min(m.end(), start + p.limit) == end for m in BOUNDARIES[first].finditer(text, earliest - 1, start + p.limit))
 
 
+@pytest.mark.parametrize(("sep", "sign"), [("\n\n", "block"), ("\n", "line"), (". ", "sentence"), (" ", "word")])
+def test_boundaries_before_the_window_are_used(sep, sign):
+    text = "some" + sep + "x" * 3900 + sep + "y" * 4377 + sep + "z" * 3700 + sep + "end"
+    ends = cut_points(text)
+    # No piece breaks a run that fits one; the run longer than a piece is cut hard, after the boundary before it.
+    assert ends[0] == text.index("y"), sign
+    assert text.index("z") in ends and all(not (text.index("x") < e < text.index("y") or text.index("z") < e < len(text) - 3) for e in ends)
+    head = "a" * 300 + sep
+    assert cut_points(head + "q" * 4377 + sep + "end")[0] == len(head)
+
+
 def test_cohesion_picks_the_topic_boundary():
     cat, dog = "cat purr milk. " * 20, "dog bark bone. " * 20
     text = "\n\n".join([cat] * 4 + [dog] * 8)
