@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.session import shared_checkpoint
+
 # Letters of Cyrillic and Greek that look like one of Latin.
 LOOK_ALIKE = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q",
@@ -113,29 +116,49 @@ def _own_script(word: str) -> str:
     return latin if n_latin >= n_other else cyrillic
 
 
-def one_form(text: str) -> str:
+def _plain(text: str) -> str:
+    forms = plain_forms()
+    return unicodedata.normalize("NFC", text.translate({ord(c): forms[c] for c in set(text) if c in forms}))
+
+
+def one_form(text: str, usual: Mapping[str, str] | None = None) -> str:
     """A text with the usual character for whatever the reader sees.
 
-    Precomposed, plain width, plain spaces and hyphens, no invisible characters, ligatures as letters; words of mixed
-    scripts in their own one. A word all in look-alikes of another script could be of either: it becomes Latin where
-    it stands in an identifier with Latin letters, or in a text with Latin and without any word surely of its script.
+    Precomposed, plain width, plain spaces and hyphens, no invisible characters, ligatures as letters; words that
+    `usual` has in the spelling it gives. The other ones by script: words of mixed scripts in their own one. A word all
+    in look-alikes of another script could be of either: it becomes Latin where it stands in an identifier with Latin
+    letters, or in a text with Latin and without any word surely of its script.
     """
-    if text.isascii():
+    if text.isascii() and not usual:
         return text
-    forms = plain_forms()
-    plain = text.translate({ord(c): forms[c] for c in set(text) if c in forms})
-    plain = unicodedata.normalize("NFC", plain)
-    if not _HAS_OTHER.search(plain):
+    usual = usual or {}
+    plain = _plain(text)
+    if not _HAS_OTHER.search(plain) and not usual:
         return plain
-    plain = _LETTERS.sub(lambda m: _fix_word(m.group()), plain)
-    sure = any(_to_latin(w) is None for w in _LETTERS.findall(plain) if _HAS_OTHER.search(w))
+    settled = set(usual.values())
+    plain = _LETTERS.sub(lambda m: _spelled(m, usual) or _fix_word(m.group()), plain)
+    sure = any(_is_sure(w) for w in _LETTERS.findall(plain))
     if not sure and _HAS_LATIN.search(plain):
-        plain = _LETTERS.sub(lambda m: _as_latin(m.group()), plain)
+        plain = _LETTERS.sub(lambda m: m.group() if m.group() in settled else _as_latin(m.group()), plain)
     else:
         plain = _IDENTIFIER.sub(_fix_identifier, plain)
     return unicodedata.normalize("NFC", plain)
 
 
+def _is_sure(word: str) -> bool:
+    """Whether a word is surely of another script than Latin."""
+    return bool(_HAS_OTHER.search(word)) and _to_latin(word) is None
+
+
+def _spelled(m: re.Match, usual: Mapping[str, str]) -> str | None:
+    word = m.group()
+    if word in usual and not _HAS_OTHER.search(word) and _HAS_OTHER.search(usual[word]):
+        # A Latin name in code or in an identifier stays.
+        before, after = m.string[max(0, m.start() - 1) : m.start()], m.string[m.end() : m.end() + 1]
+        return None if re.search(r"[\w.`/-]", before + after) else usual[word]
+    return usual.get(word)
+
+
 def _as_latin(word: str) -> str:
     return (_to_latin(word) or word) if _HAS_OTHER.search(word) else word
 
@@ -166,38 +189,127 @@ def may_differ(text: Column) -> Column:
     return F.coalesce(text.rlike(_SUSPECT), F.lit(False))
 
 
+# ASCII comes first, so that most characters need no further ranges.
 _SUSPECT = (
-    r"[^\x00-\x7F\u00a1-\u00ac\u00ae-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u024f"
-    r"\u1e00-\u1e99\u1e9b-\u1eff\u2012-\u2027\u2030-\u205e\u20a0-\u20bf\u2116\u2122\u2190-\u2328\u232b-\u2adb\u2add-\u2bff\u3001-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufffd]"
+    r"[[^\x00-\x7F]&&[^\u00a1-\u00ac\u00ae-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u024f"
+    r"\u1e00-\u1e99\u1e9b-\u1eff\u2012-\u2027\u2030-\u205e\u20a0-\u20bf\u2116\u2122\u2190-\u2328\u232b-\u2adb\u2add-\u2bff\u3001-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufffd]]"
 )
 
 
+_SCRIPTS = tuple(re.compile(f"[{c}]+") for c in (_LATIN, "\u0370-\u03ff", "\u0400-\u052f", "\u0531-\u058f", "\u13a0-\u13fd"))
+#: Skeletons of words that can be written in several scripts: prototypes and marks only.
+_OPEN = "[" + "".join(sorted({c for p in LOOK_ALIKE.values() for c in unicodedata.normalize("NFD", p)})) + "\u0300-\u036f]+"
+
+
+def _of_one_script(word: str) -> bool:
+    return any(s.fullmatch(word) for s in _SCRIPTS) and not any(c in NOT_RUSSIAN for c in word.lower())
+
+
+#: Of each skeleton, the spellings: word, rows that have it without and with words surely of another script than Latin.
+Groups = Mapping[str, list[tuple[str, int, int]]]
+
+
+def _suspect(columns: list[str]) -> Column:
+    found = F.lit(False)
+    for c in columns:
+        found = found | may_differ(F.col(c))
+    return found
+
+
+def spelling_groups(rows: DataFrame, odd: DataFrame, columns: list[str]) -> Groups:
+    """The words of all rows grouped by equal skeleton, where a group has letters of several scripts.
+
+    odd are the distinct ones of the rows that have a suspect character. Only groups of words that can be written in several scripts, and only their spellings in one script are kept: of
+    other words there is but one such spelling. So this is part of a language's vocabulary and small. A spelling counts
+    in any letter case. Rows without a suspect character are split into words in the JVM.
+    """
+    text = F.concat_ws("\n", *columns)
+    found = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"([{_LATIN}]+)"), F.lit(1)))).alias("word")
+    plain = rows.where(~_suspect(columns)).select(found).groupBy("word").agg(F.count(F.lit(1)).alias("plain"), F.lit(0).cast("bigint").alias("other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[bool, Counter] = {False: Counter(), True: Counter()}
+            for value in batch.column(0).to_pylist():
+                words = set(_LETTERS.findall(_plain(value)))
+                counts[any(map(_is_sure, words))].update(words)
+            words = sorted(counts[False].keys() | counts[True].keys())
+            cols = [pa.array(words, pa.string()), *[pa.array([counts[k][w] for w in words], pa.int64()) for k in (False, True)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["word", "plain", "other"])
+
+    others = odd.select(text.alias("t")).mapInArrow(run, "word string, plain bigint, other bigint")
+    sums = [F.sum(c).alias(c) for c in ("plain", "other")]
+    counted = shared_checkpoint(plain.unionByName(others).groupBy("word").agg(*sums))
+    words = skeletons(counted, "word").where(F.col("skeleton").rlike(f"^{_OPEN}$"))
+    cased = counted.groupBy(F.lower("word").alias("low")).agg(*sums)
+    mixed = words.groupBy("skeleton").agg(F.max(F.col("word") != F.col("skeleton")).alias("mixed")).where("mixed").select("skeleton")
+    members = words.join(mixed, "skeleton").withColumn("low", F.lower("word")).join(cased, "low")
+    groups: dict[str, list[tuple[str, int, int]]] = {}
+    for r in members.select("skeleton", "word", "plain", "other").toLocalIterator():
+        if _of_one_script(r.word):
+            groups.setdefault(r.skeleton, []).append((r.word, r.plain, r.other))
+    return groups
+
+
+def usual_spellings(words: set[str], groups: Groups) -> dict[str, str]:
+    """Of a row's words, in plain form, those whose group has a usual spelling, and that.
+
+    It is the one more rows have, first of the rows that also have, or haven't, words surely of another script, then of
+    all; the row itself doesn't count. Without a difference the word is left open. So are single letters beside words of
+    another script: they are words of one and names of the other. Latin words leave their script only if no text in
+    Latin has them.
+    """
+    lows, found = Counter(w.lower() for w in words), {}
+    other = any(map(_is_sure, words))
+    for word in words:
+        if len(word) == 1 if other else word.isascii():
+            continue
+        ranks = []
+        for spelling, n_plain, n_other in groups.get(skeleton(word), []):
+            own = lows[spelling.lower()]
+            near = (n_other if other else n_plain) - own
+            ranks.append(((near, n_plain + n_other - own), spelling, n_plain))
+        ranks.sort(reverse=True)
+        if not ranks or ranks[0][0] == (ranks[1][0] if len(ranks) > 1 else (0, 0)):
+            continue
+        best = ranks[0][1]
+        if not _HAS_OTHER.search(word) and _HAS_OTHER.search(best) and any(n for _, w, n in ranks if w == word):
+            continue
+        found[word] = best
+    return found
+
+
 def look_alikes(
     sections: DataFrame, key: tuple[str, ...] = ("path", "sec_no"), columns: tuple[str, ...] = ("heading", "body")
 ) -> DataFrame:
     """Rows with text that is written other than it looks: the key, and each text column in one form.
 
-    A row is reported if any of its columns differs from its one form. Null columns stay null, empty ones empty.
-    Repeated rows are reported once per different text. Only rows that may differ, by a test in the JVM, go to Python;
-    other columns may have any name.
+    A row is reported if any of its columns differs from its one form. The form of a word is the usual spelling of its
+    group of equal skeletons over all columns and rows; script rules decide what the groups leave open. Null columns
+    stay null, empty ones empty. Repeated rows are reported once per different text. Only rows that may differ, by a
+    test in the JVM, go to Python; other columns may have any name.
     """
     names = [f"k{i}" for i in range(len(key))] + [f"t{i}" for i in range(len(columns))]
     picked = sections.select(*[F.col(c).alias(n) for c, n in zip([*key, *columns], names)])
-    suspect = F.lit(False)
-    for i in range(len(columns)):
-        suspect = suspect | may_differ(F.col(f"t{i}"))
-    picked = picked.where(suspect)
-    schema = picked.schema
+    # Few rows, read twice: written once, as the test for them costs more than the rest.
+    odd = shared_checkpoint(picked.where(_suspect(names[len(key) :])).distinct())
+    groups = spelling_groups(picked, odd, names[len(key) :])
+    schema = odd.schema
+
+    def forms_of(row: tuple[str | None, ...]) -> tuple[str | None, ...]:
+        words = {w for t in row if t is not None for w in _LETTERS.findall(_plain(t))}
+        usual = usual_spellings(words, groups)
+        return tuple(None if t is None else one_form(t, usual) for t in row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [batch.column(len(key) + i).to_pylist() for i in range(len(columns))]
-            forms = [[None if t is None else one_form(t) for t in column] for column in texts]
-            keep = pa.array([any(a != b for a, b in zip(row[0], row[1])) for row in zip(zip(*texts), zip(*forms))], pa.bool_())
-            cols = [batch.column(i) for i in range(len(key))] + [pa.array(f, pa.string()) for f in forms]
+            rows = list(zip(*[batch.column(len(key) + i).to_pylist() for i in range(len(columns))]))
+            forms = [forms_of(row) for row in rows]
+            keep = pa.array([a != b for a, b in zip(rows, forms)], pa.bool_())
+            cols = [batch.column(i) for i in range(len(key))] + [pa.array([f[i] for f in forms], pa.string()) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cols], names=names)
 
-    out = picked.mapInArrow(run, schema).distinct()
+    out = odd.mapInArrow(run, schema).distinct()
     return out.select(*[F.col(n).alias(c) for c, n in zip([*key, *columns], names)])
 
 

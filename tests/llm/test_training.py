@@ -106,6 +106,19 @@ def test_look_alikes(spark):
     assert [(r.spellings, r.one) for r in confusables.equal_looking(names, "h").collect()] == [(2, "Head")]
 
 
+def test_words_take_the_usual_spelling_of_their_skeleton(spark):
+    copy, he = "\u0421\u043e\u0440\u0443", "\u041d\u0435"  # all in Russian-shaped letters
+    rows = [("p", i, "Copy", "copy a file, He said") for i in range(4)]
+    rows += [("r", i, "Раздел", f"{he} открыт, а закрыт. {'Все файлы' if i else 'Bce файлы `Bce`'}.") for i in range(4)]
+    rows += [("x", 0, copy, "a file"), ("x", 1, copy, None), ("x", 2, "Раздел", f"Нажмите {copy}."), ("x", 3, he, "Русский текст"), ("x", 4, "Vitamin \u0421", "C")]
+    df = spark.createDataFrame(rows, "path string, sec_no int, heading string, body string")
+    got = {(r.path, r.sec_no): (r.heading, r.body) for r in confusables.look_alikes(df).collect()}
+    assert got == {
+        ("x", 0): ("Copy", "a file"), ("x", 1): ("Copy", None), ("x", 2): ("Раздел", "Нажмите Copy."), ("x", 4): ("Vitamin C", "C"),
+        ("r", 0): ("Раздел", f"{he} открыт, а закрыт. Все файлы `Bce`."),
+    }
+
+
 # ---- 5
 def test_containers():
     rng = np.random.default_rng(1)
