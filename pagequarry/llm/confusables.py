@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.session import shared_checkpoint
+from pagequarry.session import BROADCAST_BYTES, content_bytes, shared_checkpoint
 
 # Letters of Cyrillic and Greek that look like one of Latin.
 LOOK_ALIKE = {
@@ -333,3 +334,73 @@ def equal_looking(texts: DataFrame, column: str) -> DataFrame:
         F.count(F.lit(1)).alias("spellings"), F.min(column).alias("one")
     )
     return grouped.where(F.col("spellings") > 1)
+
+
+#: What is grouped: whole texts by their MD5, so that they aren't gathered, and words as they are.
+_IDS = {"text": F.md5, "word": F.col}
+
+
+def _places(sections: DataFrame, unit: str, key: tuple[str, ...], columns: tuple[str, ...], once: bool = False) -> DataFrame:
+    """k0.., column, original, id: the non-empty texts of the columns, or each different word of theirs.
+
+    With once=True repeated keys don't repeat them; texts are gathered by key before they become many words.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("original")) for c in columns])
+    names = [f"k{i}" for i in range(len(key))]
+    texts = sections.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.explode(pairs).alias("e")).select(*names, "e.*")
+    texts = texts.where("original <> ''")
+    if once:
+        texts = texts.groupBy(*names, "column").agg(F.collect_set("original").alias("s"))
+        texts = texts.select(*names, "column", (F.explode("s") if unit == "text" else F.concat_ws("\n", "s")).alias("original"))
+    if unit == "word":
+        # Characters that show nothing are part of the word they stand in.
+        found = F.regexp_extract_all("original", F.lit(r"([\p{L}\p{M}\p{N}\p{Cf}]+)"), F.lit(1))
+        texts = texts.withColumn("original", F.explode(F.array_distinct(found)))
+    return texts.withColumn("id", _IDS[unit]("original"))
+
+
+def _members(places: DataFrame, unit: str) -> DataFrame:
+    """id, group (MD5 of the skeleton), spellings of the originals that have others of equal skeleton; runs at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [hashlib.md5(skeleton(t).encode()).hexdigest() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string())], names=["id", "group"])
+
+    ascii_only = ~F.col("original").rlike(r"[^\x00-\x7F]")
+    # ASCII is its own skeleton and stays in the JVM.
+    plain = places.where(ascii_only).select("id").distinct().withColumn("group", F.col("id") if unit == "text" else F.md5("id"))
+    odd = places.where(~ascii_only).select("id", "original")
+    odd = (odd if unit == "text" else odd.distinct()).mapInArrow(run, "id string, group string").distinct()
+    spelt = shared_checkpoint(plain.unionByName(odd))
+    several = spelt.groupBy("group").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1")
+    found = shared_checkpoint(spelt.join(several, "group"))
+    return F.broadcast(found) if content_bytes(found, "id") + content_bytes(found, "group") <= BROADCAST_BYTES else found
+
+
+def equal_looking_places(
+    sections: DataFrame, key: tuple[str, ...] = ("path", "sec_no"), columns: tuple[str, ...] = ("heading", "body")
+) -> DataFrame:
+    """Where the originals of groups of two or more that look alike stand: the key, column, unit, group, original.
+
+    unit: "text" for the whole value of a column, "word" for a word in it; group: the MD5 of the skeleton, unique with
+    unit. Groups are over all columns and rows; every original of a group comes out with every place that has it,
+    repeated rows and repeats within a text once.
+    """
+    found = None
+    for unit in _IDS:
+        members = _members(_places(sections, unit, (), columns), unit)
+        part = _places(sections, unit, key, columns, once=True).join(members, "id").withColumn("unit", F.lit(unit))
+        found = part if found is None else found.unionByName(part)
+    return found.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(key)], "column", "unit", "group", "original")
+
+
+def equal_looking_groups(sections: DataFrame, columns: tuple[str, ...] = ("heading", "body")) -> DataFrame:
+    """One row for each group of equal_looking_places: unit, group, skeleton, spellings (how many), one (the least)."""
+    found = None
+    for unit in _IDS:
+        places = _places(sections, unit, (), columns)
+        spelt = places.join(_members(places, unit).select("id"), "id", "left_semi").select("original")
+        part = equal_looking(spelt, "original").withColumn("unit", F.lit(unit))
+        found = part if found is None else found.unionByName(part)
+    return found.select("unit", F.md5("skeleton").alias("group"), "skeleton", "spellings", "one")

@@ -32,7 +32,11 @@ def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return confusables.equal_looking(table(spark, folder, "sections"), "heading")
+    return confusables.equal_looking_groups(table(spark, folder, "sections"))
+
+
+def p3_members(spark: SparkSession, folder: str) -> DataFrame:
+    return confusables.equal_looking_places(table(spark, folder, "sections"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

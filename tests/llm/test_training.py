@@ -119,6 +119,21 @@ def test_words_take_the_usual_spelling_of_their_skeleton(spark):
     }
 
 
+def test_groups_of_headings_and_bodies_have_members(spark, tmp_path):
+    odd = "c\u0430che"
+    rows = [("a", 0, "Cache", "The cache, open"), ("a", 1, "other", f"A {odd} and the {odd}."), ("b", 0, "C\u0430che", None), ("b", 1, "ca\u00adche", ""), ("a", 1, "other", f"A {odd} and the {odd}.")]
+    spark.createDataFrame(rows, "path string, sec_no int, heading string, body string").write.parquet(f"{tmp_path}/sections.parquet")
+    groups = {(r.unit, r.skeleton): r for r in Q.p3_groups(spark, str(tmp_path)).collect()}
+    assert {k: (r.spellings, r.one) for k, r in groups.items()} == {("text", "Cache"): (2, "Cache"), ("word", "Cache"): (2, "Cache"), ("word", "cache"): (3, "cache")}
+    got = sorted((r.path, r.sec_no, r.column, r.unit, r.group, r.original) for r in Q.p3_members(spark, str(tmp_path)).collect())
+    small, large = groups["word", "cache"].group, groups["word", "Cache"].group
+    assert got == sorted([
+        ("a", 0, "heading", "text", groups["text", "Cache"].group, "Cache"), ("b", 0, "heading", "text", groups["text", "Cache"].group, "C\u0430che"),
+        ("a", 0, "heading", "word", large, "Cache"), ("b", 0, "heading", "word", large, "C\u0430che"),
+        ("a", 0, "body", "word", small, "cache"), ("a", 1, "body", "word", small, odd), ("b", 1, "heading", "word", small, "ca\u00adche"),
+    ])
+
+
 # ---- 5
 def test_containers():
     rng = np.random.default_rng(1)
