@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.codepoints import SPACE, grouped, joined, word_text
+from pagequarry.llm.codepoints import SPACE, grouped, joined, word_text
 
 _WORD = re.compile(r"[^\W_]+")
 _B = np.uint64(0x9E3779B97F4A7C15)

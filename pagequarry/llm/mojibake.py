@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.codepoints import LIMIT, codepoints, grouped, joined
+from pagequarry.llm.codepoints import LIMIT, codepoints, grouped, joined
 
 # Encodings in which UTF-8 bytes are often misread.
 MISREAD_UTF8 = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1250")
