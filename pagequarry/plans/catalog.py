@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.plans import caps, retrieval
+from pagequarry.plans import retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**retrieval.QUERIES, **caps.QUERIES}
+    return dict(retrieval.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**retrieval.ORACLES, **caps.ORACLES}
+    return dict(retrieval.ORACLES)

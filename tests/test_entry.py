@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-CHEAP = ["page_identity", "front_matter_fields", "section_slices", "keyword_analysis", "term_matches", "batch_search", "eval_metrics", "p2_found", "p2_nested", "p4_found"]
+CHEAP = ["page_identity", "front_matter_fields", "section_slices", "keyword_analysis", "term_matches", "batch_search", "eval_metrics"]
 
 
 def test_entry(spark):
