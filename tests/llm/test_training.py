@@ -75,24 +75,48 @@ def test_hazards(spark):
         ("Ｆｕｌｌ１２", "Full12"), ("cafe\u0301", "café"), ("a\u200bb \u00adc", "ab c"), ("a\u00a0b\u2009c\u202fd", "a b c d"), ("re\u2010do\u2011it", "re-do-it"),
         ("ﬁeld", "field"), ("Sess\u0456on", "Session"), ("b\u03bf\u03bfl", "bool"), ("\u0421\u0430\u0441\u04bb\u0435", "Cache"), ("Р\u0430здел про яp\u043bык", "Раздел про ярлык"),
         ("\u0435dge_\u0445\u043e в файле", "edge_xo в файле"), ("𝐛𝐨𝐥𝐝", "bold"), ("x² ½ ™ — “q” …", "x² ½ ™ — “q” …"), ("API-сервер открыт", "API-сервер открыт"),
-        ("Все", "Все"), ("не со всем", "не со всем"), ("\ufffd", "\ufffd"), ("œuvre Größe", "œuvre Größe"), ("", ""), ("е\u0308лка и\u0306", "ёлка й"),
+        ("Все", "Все"), ("не со всем", "не со всем"), ("\ufffd", "\ufffd"), ("œuvre Größe", "œuvre Größe"), ("", ""), ("е\u0308лка и\u0306", "ёлка й"), ("c\u0251che f\u0131le", "cache file"), ("ağ k\u0131sa", "ağ k\u0131sa"), ("part \u2163", "part IV"), ("part \u2160", "part I"),
     ],
 )
-def test_one_form(text, form):
-    assert confusables.one_form(text) == form
-    assert confusables.skeleton(text) == confusables.skeleton(form)
+def test_one_form(looks, text, form):
+    assert looks.one_form(text) == form
+    assert looks.skeleton(text) == looks.skeleton(form)
+
+
+@pytest.fixture(scope="module")
+def looks(spark):
+    return confusables.confusables(spark)
+
+
+def test_the_table_is_unicodes(looks):
+    assert len(looks.prototypes) > 5000 and len(looks.look_alike) > 100
+    # Scripts, digits, punctuation and sequences that no list here has.
+    for a, b in (("ꓖ", "G"), ("೦", "o"), ("՝", "'"), ("⁄", "/"), ("ⅿ", "m"), ("œ", "oe"), ("Ӏ", "I"), ("І", "I"), ("۱", "1"), ("О", "O"), ("ㅤ", "")):
+        assert looks.skeleton(a) == looks.skeleton(b), (a, b)
+    for a, b in ("lI", "1l", "O0", "I1"):
+        assert looks.skeleton(a) != looks.skeleton(b)
+    assert looks.skeleton("modern") == "modern"
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="aeоеАﬁｗ\u200b\u0301\u00a0 -_.ы1é", max_size=20))
-def test_one_form_is_stable(text):
-    once = confusables.one_form(text)
-    assert confusables.one_form(once) == once or confusables.one_form(confusables.one_form(once)) == confusables.one_form(once)
-    assert confusables.skeleton(confusables.skeleton(text)) == confusables.skeleton(text)
+@given(text=st.text(alphabet="aeоеАﬁｗ\u200b\u0301\u00a0 -_.ы1éɑı", max_size=20))
+def test_one_form_is_stable(looks, text):
+    once = looks.one_form(text)
+    assert looks.one_form(once) == once or looks.one_form(looks.one_form(once)) == looks.one_form(once)
+    assert looks.skeleton(looks.skeleton(text)) == looks.skeleton(text)
     assert unicodedata.is_normalized("NFC", once)
 
 
-def test_look_alikes(spark):
+def test_without_the_table_nothing_is_found_by_look(spark, monkeypatch):
+    rows = [("a", 0, "H\u0435ad", "x"), ("a", 1, "Head", "x"), ("a", 2, "\u0421\u043e\u0440\u0443", "Copy"), ("b", 0, "Copy", None), ("b", 1, "Copy", None)]
+    df = spark.createDataFrame(rows, "path string, sec_no int, heading string, body string")
+    found = lambda: {(r.path, r.sec_no) for r in confusables.look_alikes(df).collect()}
+    assert found() == {("a", 0), ("a", 2)}
+    monkeypatch.setattr(confusables, "confusables", lambda spark: confusables.Confusables({}))
+    assert found() == set()
+
+
+def test_look_alikes(spark, looks):
     rows = [("a", 0, "H\u0435ad", "x", "k"), ("a", 0, "H\u0435ad", "x", "k"), ("a", 1, None, None, "k"), ("a", 2, "", "b\u00a0c", "k"), ("b", 0, "plain", "déjà", "k")]
     df = spark.createDataFrame(rows, "path string, sec_no int, heading string, body string, k0 string")
     got = sorted(tuple(r) for r in confusables.look_alikes(df).collect())
@@ -101,7 +125,7 @@ def test_look_alikes(spark):
     # What the JVM lets pass is in one form already.
     chars = [(chr(c),) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
     passed = spark.createDataFrame(chars, "c string").where(~confusables.may_differ(F.col("c"))).collect()
-    assert len(passed) > 10_000 and all(confusables.one_form(r.c) == r.c for r in passed)
+    assert len(passed) > 10_000 and all(looks.one_form(r.c) == r.c for r in passed)
     names = spark.createDataFrame([("Head",), ("H\u0435ad",), ("Head",), ("other",), (None,)], "h string")
     assert [(r.spellings, r.one) for r in confusables.equal_looking(names, "h").collect()] == [(2, "Head")]
 
