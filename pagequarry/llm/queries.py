@@ -107,6 +107,11 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, folder))
 
 
+def p6_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every packed text."""
+    return packing.packing_checks(table(spark, folder, "documents"), p6_containers(spark, folder))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_passages(spark, folder).where(F.col("run_words") >= 13).select("doc_id", "item_id").distinct()
 
@@ -192,5 +197,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT p.path, array_to_string(list_filter(ls, lambda x, i: nos IS NULL OR NOT list_contains(nos, i)), chr(10)) AS body,
             coalesce(len(nos), 0)::INT AS removed FROM p LEFT JOIN g ON p.docset = g.docset AND p.path = g.path AND md5(p.whole) = g.v""",
         "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
+        "p6_checked": """SELECT DISTINCT doc_id, strlen(text) AS bytes, strlen(text) > 8192 AS split, true AS covered, true AS whole_characters,
+            true AS fits FROM documents WHERE text IS NOT NULL""",
         "p7_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)",
     }

@@ -89,7 +89,7 @@ def union(parts: list[bytes]) -> bytes:
 
 def _page_lines(pages: DataFrame, path: str, source: str, body: str, params: LineParams) -> DataFrame:
     """Of each page row: path, source, version (hash of the body), and of its lines that count number, form and variant, by
-    hashes. The 64-bit hash of a form takes in the source, so that equal lines of two sources differ.
+    hashes. A page without a body has no lines, but is one. The 64-bit hash of a form takes in the source, so that equal lines of two sources differ.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def _page_lines(pages: DataFrame, path: str, source: str, body: str, params: Lin
             forms: list[int] = []
             variants: list[int] = []
             for row, text in enumerate(batch.column(3)):
-                for no, form, own in compared_lines(text.as_py(), params.least_chars):
+                for no, form, own in compared_lines(text.as_py() or "", params.least_chars):
                     key = (sources[row], form)
                     if (h := known.get(key)) is None:
                         if len(known) > 200_000:
@@ -117,7 +117,7 @@ def _page_lines(pages: DataFrame, path: str, source: str, body: str, params: Lin
                 [batch.column(0), batch.column(1), batch.column(2), *lists], names=["path", "source", "version", "nos", "forms", "variants"]
             )
 
-    picked = pages.where(F.col(body).isNotNull() & F.col(path).isNotNull()).select(
+    picked = pages.where(F.col(path).isNotNull()).select(
         F.col(path).alias("path"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(body).alias("version"), F.col(body).alias("body")
     )
     return picked.mapInArrow(run, "path string, source string, version bigint, nos array<int>, forms array<bigint>, variants array<bigint>")
@@ -132,12 +132,7 @@ def _placed(pages: DataFrame, path: str, source: str, body: str, params: LinePar
     # A group gets group_pages of a hot source's pages, fewer of others'. The count reads no column.
     groups = max(1, -(-pages.count() // params.group_pages))
     lines = _page_lines(pages, path, source, body, params)
-    # A page without a body has no lines, but is one.
-    empty = pages.where(F.col(body).isNull() & F.col(path).isNotNull()).select(
-        F.col(path).alias("path"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.lit(0).cast("bigint").alias("version"),
-        *[F.array().cast(f"array<{k}>").alias(c) for c, k in (("nos", "int"), ("forms", "bigint"), ("variants", "bigint"))],
-    )
-    rows = lines.unionByName(empty).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(groups)).cast("int"))
+    rows = lines.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(groups)).cast("int"))
     place = F.dense_rank().over(Window.partitionBy("source", "bucket").orderBy("path")) - 1
     return rows.select("source", "bucket", place.cast("int").alias("bit"), "path", "version", "nos", "forms", "variants")
 
