@@ -388,22 +388,21 @@ def cut_texts(
     wide = stands.groupBy("form").agg(F.count(F.lit(1)).alias("sources")).where(F.col("sources") >= params.site_sources)
     everywhere = stands.join(wide.select("form"), "form", "left_semi").select("source", "form")
     site = shared_checkpoint(many.union(everywhere).distinct())
-    # Each text's last block that isn't the site's.
+    # Each text's last block that isn't the site's, and the kinds of those before it.
     asked = examined.select(*key, F.posexplode("forms").alias("at", "form")).where("form <> 0")
     hits = asked.join(site, ["source", "form"], "left_semi").groupBy(*key).agg(F.collect_set("at").alias("site_at"))
-    at = F.try_element_at(
-        F.filter(F.sequence(F.lit(0), F.size("forms") - 1), lambda i: F.col("site_at").isNull() | ~F.array_contains("site_at", i)), F.lit(1)
-    )
-    at = F.when(F.size("forms") > 0, at) + 1
-    own = shared_checkpoint(
-        examined.join(hits, key, "left").select(
-            *key, "open", "ended", F.when(F.col("open"), "block").otherwise(F.try_element_at("kinds", at)).alias("kind"),
-            F.coalesce(F.try_element_at("tails", at), F.lit(0)).alias("tail"), (F.col("site_at").isNotNull()).alias("sited"),
-        )
-    )
+    every = F.when(F.size("forms") > 0, F.sequence(F.lit(0), F.size("forms") - 1))
+    left = F.filter(every, lambda i: F.col("site_at").isNull() | ~F.array_contains("site_at", i))
+    rows = examined.join(hits, key, "left").withColumn("left", left).withColumn("at", F.try_element_at("left", F.lit(1)))
+    own = shared_checkpoint(rows.select(
+        *key, "open", "ended", F.when(F.col("open"), "block").otherwise(F.get("kinds", "at")).alias("kind"),
+        F.coalesce(F.get("tails", "at"), F.lit(0)).alias("tail"),
+        F.transform(F.filter("left", lambda i: F.col("open") | (i > F.col("at"))), lambda i: F.get("kinds", i)).alias("before"),
+    ))
     last = own.where(F.col("kind").isNotNull())
     inner = examined.select("source", F.explode(F.arrays_zip("inner", "inner_n")).alias("i"))
     inner = inner.select("source", F.col("i.inner").alias("kind"), F.col("i.inner_n").cast("long").alias("n"))
+    inner = inner.unionByName(own.select("source", F.explode("before").alias("kind"), F.lit(1).cast("long").alias("n")))
     apart = examined.select("source", F.explode(F.arrays_zip("inner_forms", "inner_kinds")).alias("i"))
     apart = apart.groupBy("source", F.col("i.inner_forms").alias("form"), F.col("i.inner_kinds").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     inner = inner.unionByName(apart.join(site, ["source", "form"], "left_anti").select("source", "kind", "n"))
