@@ -124,6 +124,18 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(p7_passages(spark, folder))
 
 
+def p7_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the pairs with a 13-word run that one character is amiss in, or none, in every 50th document by exhaustive search:
+    how many p7_passages has."""
+    near = table(spark, folder, "documents").where(F.col("doc_id") % 50 == 0)
+    pairs = leakage.exhaustive_pairs(near, table(spark, folder, "benchmark"))
+    found = p7_passages(spark, folder).select("doc_id", "item_id", F.lit(1).alias("found")).distinct()
+    return pairs.join(found, ["doc_id", "item_id"], "left").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count("found").alias("found"),
+        F.round(F.coalesce(F.count("found") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(1.0)), 6).alias("recall"),
+    )
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_restored(spark, folder).select("doc_id")
 

@@ -337,7 +337,7 @@ def test_leaks(spark):
     t = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute_leaks(docs, items)
     assert len(want) > 30
-    for params in (leakage.LeakParams(), leakage.LeakParams(block_bytes=1000), leakage.LeakParams(edits=0)):
+    for params in (leakage.LeakParams(), leakage.LeakParams(index_bytes=20_000), leakage.LeakParams(held_pairs=40), leakage.LeakParams(edits=0)):
         got = leakage.leaked_passages(d, t, params)
         assert {(r.doc_id, r.item_id) for r in got.where("run_words >= 13").collect()} == want
     at = got.where("doc_id = 504 and item_id = 3").first()
@@ -355,6 +355,48 @@ def test_near_passages_are_found():
     assert [(r[0], r[1]) for r in found] == [(7, 1)]
 
 
+def test_short_items_and_second_stretches():
+    rng = random.Random(18)
+    say = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    short, long = say(7), say(60)
+    index = leakage.ItemIndex([1, 2], [" ".join(short), " ".join(long)], leakage.LeakParams())
+    # The better stretch has an edit in each run of 13 words, the lesser one none; both are on one diagonal.
+    first = list(long)
+    for k in range(5, 40, 9):
+        first[k] = first[k][:2] + "z" + first[k][3:]
+    first[41:44] = ["q" * 6] * 3
+    first[57:] = ["v" * 6] * 3
+    rows = leakage.find(index, [5, 6], ["x " + " ".join(short) + " y", "x " + " ".join(first) + " y"])
+    assert {(r[0], r[1]): r[4] for r in rows} == {(5, 1): 7, (6, 2): 13}
+
+
+def test_memory_is_that_of_a_block(spark):
+    rng = random.Random(19)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)) for _ in range(400)]
+    sizes = [leakage.ItemIndex(list(range(n)), texts[:n], leakage.LeakParams()) for n in (100, 400)]
+    bytes_of = [sum(v.nbytes for v in x.__dict__.values() if isinstance(v, np.ndarray)) - x.seen.nbytes for x in sizes]
+    chars = [sum(map(len, texts[:n])) for n in (100, 400)]
+    assert all(b <= leakage.BYTES_PER_CHAR * c for b, c in zip(bytes_of, chars))
+
+
+def test_all_nearly_equal_runs_are_found(spark):
+    rng = random.Random(20)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8))) for _ in range(200)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(25))) for i in range(20)]
+    docs = []
+    for d in range(100):
+        text = items[d % 20][1].split()[rng.randint(0, 10) :]
+        text = " ".join([rng.choice(words) for _ in range(20)] + text[: rng.randint(10, 15)] + [rng.choice(words) for _ in range(5)])
+        for _ in range(d % 3):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "x", text[at] + "y"]) + text[at + 1 :]
+        docs.append((d, text))
+    d, t = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    brute = {tuple(r) for r in leakage.exhaustive_pairs(d, t).collect()}
+    assert len(brute) > 30 and brute >= brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_passages(d, t).collect()} >= brute
+
+
 # ---- 8
 RIGHT = ["Für die Größe gelten höchstens drei Einträge.", "Après déjà créé, c’est réglé — “très” bien.", "Чтобы создать слой, сначала откройте каталог.", "La opción está válida, ¿no?"]
 
