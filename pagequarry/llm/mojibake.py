@@ -32,12 +32,18 @@ SLOTS = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CODE = re.compile(r"`[^`\n]*`")
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
+_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
+#: Characters that Western encodings show bytes as, where text of another script follows.
+_WESTERN = re.compile(r"[\x80-\u02ff\u2010-\u2122]{2,}(?=[\u0370-\u1fff\u2e80-\uffff])")
 
 
 @dataclass(frozen=True)
 class GarbleParams:
     #: Bits of improbability that a stretch must gather before inverse mappings are tried in it.
     least_bits: float = 4.4
+    #: Bits by which each pair of a stretch that is bytes of UTF-8 throughout is improbable at least: so few characters are
+    #: such bytes that three of them in their order are rarer than that by chance.
+    utf8_pair_bits: float = 2.5
     #: Bits a restored stretch must gain over the garbled one, in all and by pair.
     gain_bits: float = 6.0
     gain_by_pair: float = 1.5
@@ -154,17 +160,23 @@ class PairModel:
     chars: np.ndarray
     total: float
 
+    @property
+    def common(self) -> float:
+        """Bits of a pair within ASCII."""
+        return self.total - 12.0
+
     def joint(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bits of a pair's count. Pairs within ASCII count as common."""
-        return np.where((a < 128) & (b < 128), self.total - 12.0, self.pairs[_slot(a, b)])
+        return np.where((a < 128) & (b < 128), self.common, self.pairs[_slot(a, b)])
 
     def information(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Pointwise mutual information of adjacent characters, in bits."""
         return self.joint(a, b) + self.total - self.chars[a] - self.chars[b]
 
-    def bits(self, text: str) -> float:
+    def mean_bits(self, text: str) -> float:
+        """Mean bits of a text's pairs; one without a pair is as good as plain ASCII."""
         c = codepoints(text)
-        return float(self.joint(c[:-1], c[1:]).sum()) if len(c) > 1 else 0.0
+        return float(self.joint(c[:-1], c[1:]).mean()) if len(c) > 1 else self.common
 
 
 def pair_improbability(model: PairModel, a: np.ndarray, b: np.ndarray, params: GarbleParams) -> np.ndarray:
@@ -210,7 +222,7 @@ def restore(model: PairModel, text: str, before: str, after: str, params: Garble
 
     Mappings are tried again on their own result, as text may have been misread more than once.
     """
-    start = model.bits(before + text + after) / (len(text) + 1)
+    start = model.mean_bits(before + text + after)
     top = (start, text, "")
     now, names, least = text, [], params.gain_bits
     for _ in range(params.rounds):
@@ -219,14 +231,14 @@ def restore(model: PairModel, text: str, before: str, after: str, params: Garble
             new = pattern.sub(lambda m, b=bytes_of: _decoded(m.group(), b), now)
             if new != now:
                 # A byte-order mark may stand before anything.
-                value = model.bits((before + new + after).replace("\ufeff", "")) / (len(new) + 1)
+                value = model.mean_bits((before + new + after).replace("\ufeff", ""))
                 # The mapping that takes up most bytes; of equal ones, the better text.
                 if best is None or (len(new), -value) < (len(best[1]), -best[0]):
                     best = (value, new, name)
         # Where bytes of UTF-8 fit throughout, what they give may need another round; else a mapping must gain at once.
         strict = best is not None and 2 * _beyond(best[1]) <= 1.1 * _beyond(now)
         if not strict and not names:
-            value, name, table = _best_byte_inverse(model, before + now + after, len(now) + 1)
+            value, name, table = _best_byte_inverse(model, before + now + after)
             if best is None or value > best[0]:
                 best = (value, now.translate(table), name)
         if best is None or not strict and best[0] < top[0] + params.gain_by_pair:
@@ -254,14 +266,14 @@ def _decoded(run: str, bytes_of: dict[str, int]) -> str:
         return run
 
 
-def _best_byte_inverse(model: PairModel, text: str, pairs: int) -> tuple[float, str, dict[int, str]]:
+def _best_byte_inverse(model: PairModel, text: str) -> tuple[float, str, dict[int, str]]:
     """The mapping of single bytes after which a text's pairs are likeliest, and their mean bits."""
     c = codepoints(text)
     pair, n = np.unique(c[:-1].astype(np.uint64) * np.uint64(LIMIT) + c[1:], return_counts=True)
     a, b = (pair // np.uint64(LIMIT)).astype(np.int64), (pair % np.uint64(LIMIT)).astype(np.int64)
     best = None
     for name, array, table in _byte_inverses():
-        value = float((model.joint(array[a], array[b]) * n).sum()) / pairs
+        value = float((model.joint(array[a], array[b]) * n).sum()) / max(1, len(c) - 1)
         if best is None or value > best[0]:
             best = (value, name, table)
     return best
@@ -281,6 +293,13 @@ class Repairer:
         kinds, which = np.unique(pair, return_inverse=True)
         a, b = (kinds // np.uint64(LIMIT)).astype(np.int64), (kinds % np.uint64(LIMIT)).astype(np.int64)
         score = pair_improbability(self.model, a, b, self.params)[which]
+        bytes_of_utf8 = np.zeros(len(codes), bool)
+        for start, text in zip(starts.tolist(), masked):
+            for runs in (_RUNS, _WESTERN):
+                for m in runs.finditer(text):
+                    if _decodable(m.group()):
+                        bytes_of_utf8[start + m.start() : start + m.end() - 1] = True
+        score = np.where(bytes_of_utf8[at], np.maximum(score, self.params.utf8_pair_bits), score)
         bounds = np.searchsorted(at, starts)
         for k in range(len(texts)):
             lo, hi = bounds[k], bounds[k + 1]

@@ -70,10 +70,10 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_rejoined(spark: SparkSession, folder: str) -> DataFrame:
     """What must hold of every split text: joined without overlaps it is the text; pieces fit; each begins with what the
-    one before ends in; none is cut within a word if it has a boundary."""
+    one before ends in; none is cut within a word if it has a boundary beyond its overlap."""
     pieces = p4_pieces(spark, folder)
     new = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.substring("piece", F.lit(201), F.length("piece")))
-    cut = F.col("piece").rlike(r"(?U)(\s|[.!?…。！？][\"'”’»)\]*_`]*)$") | ~F.col("new").rlike(r"(?U)\s") | (F.col("piece_no") + 1 == F.col("n_pieces"))
+    cut = F.col("piece").rlike(r"(?U)(\s|[.!?…。！？][\"'”’»)\]*_`]*)$") | ~F.substring("piece", F.lit(201), F.length("piece")).rlike(r"(?U)\s") | (F.col("piece_no") + 1 == F.col("n_pieces"))
     parts = pieces.withColumn("new", new).groupBy("path", "sec_no", "text_hash").agg(
         F.array_sort(F.collect_list(F.struct("piece_no", "piece", "new"))).alias("ps"), F.max(F.length("piece")).alias("longest"),
         F.bool_and(cut).alias("natural"), F.max("n_pieces").alias("n"),

@@ -246,24 +246,23 @@ def _p_value(ended: Column, at_risk: Column, expected: Column) -> Column:
 
 
 def _significant(rows: DataFrame, family: list[str], tie: list[str], params: CutParams) -> DataFrame:
-    """Rows (with p_value and ended) that are significant in their family by Benjamini and Hochberg's procedure.
+    """Rows (with p_value, ended, and the number of tests of their family) that are significant in it by Benjamini and
+    Hochberg's procedure.
 
     Only p-values up to the share of false discoveries can be, so that few rows are ranked, however large a family is.
     """
-    sizes = rows.groupBy(*family).agg(F.count(F.lit(1)).alias("__m"))
     low = rows.where(F.col("p_value") <= params.false_discoveries)
-    low = low.join(sizes, family) if family else low.crossJoin(F.broadcast(sizes))
     ranked = Window.partitionBy(*(family or [F.lit(0)])).orderBy("p_value", *tie)
-    below = F.col("p_value") <= F.row_number().over(ranked) / F.col("__m") * params.false_discoveries
-    low = low.withColumn("__below", below)
+    below = F.col("p_value") <= F.row_number().over(ranked) / F.col("tests") * params.false_discoveries
     # All up to the last that lies below its bound.
     last = F.max("__below").over(ranked.rowsBetween(0, Window.unboundedFollowing))
-    return low.withColumn("__last", last).where(F.col("__last") & (F.col("ended") >= params.least_texts)).drop("__m", "__below", "__last")
+    low = low.withColumn("__below", below).withColumn("__last", last)
+    return low.where(F.col("__last") & (F.col("ended") >= params.least_texts)).drop("__below", "__last")
 
 
 def length_hazards(examined: DataFrame, params: CutParams = CutParams()) -> DataFrame:
     """Of each source, measure ("chars" or "bytes") and length that occurs: texts that end there, texts at least as
-    long, hazard, hazard of the neighbouring lengths, p_value.
+    long, hazard, hazard of the neighbouring lengths, p_value; and tests, the number of lengths of its source and measure.
 
     A length's hazard is the share of texts at least as long that end right there; the neighbours' is the texts that end
     at them by the texts at risk, added up over the neighbours, each at its own length. The p-value is Chernoff's bound on
@@ -280,9 +279,10 @@ def length_hazards(examined: DataFrame, params: CutParams = CutParams()) -> Data
     )
     block = lambda x: F.floor(x / size)
     counts = counts.withColumn("home", block(F.col("length")))
-    totals = counts.groupBy("source", "measure", "home").agg(F.sum("ended").alias("n"))
-    later = Window.partitionBy("source", "measure").orderBy(F.desc("home")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("source", "measure", "home", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("later"))
+    totals = counts.groupBy("source", "measure", "home").agg(F.sum("ended").alias("n"), F.count(F.lit(1)).alias("lengths"))
+    whole = Window.partitionBy("source", "measure")
+    later = whole.orderBy(F.desc("home")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("source", "measure", "home", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("later"), F.sum("lengths").over(whole).alias("tests"))
     seen = counts.withColumn("block", F.explode(F.sequence(block(F.col("length") - w), block(F.col("length") + w))))
     part = Window.partitionBy("source", "measure", "block").orderBy("length")
     around, length = part.rangeBetween(-w, w), F.col("length")
@@ -297,7 +297,7 @@ def length_hazards(examined: DataFrame, params: CutParams = CutParams()) -> Data
     exposure = (at_risk - F.col("up_to")) * (length + w - low + 1) + F.col("near_length") - (low - 1) * F.col("near") - at_risk
     # At least half a text is taken to end nearby, so that a lone cluster of texts isn't held against nothing.
     p0 = F.least((F.col("near") - F.col("ended") + 0.5) / F.greatest(exposure, F.lit(1)), F.lit(0.5))
-    rows = rows.select("source", "measure", "length", "ended", at_risk.alias("at_risk"), p0.alias("neighbour_hazard"))
+    rows = rows.select("source", "measure", "length", "ended", "tests", at_risk.alias("at_risk"), p0.alias("neighbour_hazard"))
     return rows.withColumn("hazard", F.col("ended") / F.col("at_risk")).withColumn(
         "p_value", _p_value(F.col("ended"), F.col("at_risk"), F.col("neighbour_hazard"))
     )
@@ -310,57 +310,63 @@ def significant_lengths(examined: DataFrame, params: CutParams = CutParams()) ->
     significant of its two lengths, and lengths left with too few texts are dropped.
     """
     found = _significant(length_hazards(examined, params), ["source", "measure"], ["length"], params)
-    found = shared_checkpoint(found.select("source", "measure", "length", "p_value"))
-    at = lambda m: found.where(F.col("measure") == m).select("source", F.col("length").alias(m), F.col("p_value").alias(f"p_{m}"))
-    both = examined.select("source", "chars", "bytes").join(at("chars"), ["source", "chars"], "left").join(at("bytes"), ["source", "bytes"], "left")
-    chars = F.coalesce(F.col("p_chars") <= F.coalesce("p_bytes", F.lit(2.0)), F.lit(False))
-    both = both.where(F.col("p_chars").isNotNull() | F.col("p_bytes").isNotNull()).select(
-        "source", F.when(chars, "chars").otherwise("bytes").alias("measure"), F.when(chars, F.col("chars")).otherwise(F.col("bytes")).alias("length")
-    )
-    return both.groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("ended")).where(
-        F.col("ended") >= params.least_texts
-    )
+    # A source has few; so they come to its texts as one list.
+    lists = found.groupBy("source").agg(F.collect_list(F.struct("measure", "length", "p_value")).alias("ls"))
+    texts = examined.select("source", "chars", "bytes").join(lists, "source")
+    own = F.filter("ls", lambda x: x["length"] == F.when(x["measure"] == "chars", F.col("chars")).otherwise(F.col("bytes")))
+    best = F.try_element_at(F.array_sort(F.transform(own, lambda x: F.struct(x["p_value"].alias("p"), x["measure"].alias("m"), x["length"].alias("n")))), F.lit(1))
+    counted = texts.select("source", best.alias("b")).where("b is not null").groupBy("source", "b.m", "b.n").agg(F.count(F.lit(1)).alias("ended"))
+    return counted.where(F.col("ended") >= params.least_texts).select("source", F.col("m").alias("measure"), F.col("n").alias("length"), "ended")
 
 
-def ending_hazards(inner: DataFrame, last: DataFrame, params: CutParams = CutParams()) -> DataFrame:
+def ending_hazards(kinds: DataFrame, params: CutParams = CutParams()) -> DataFrame:
     """Of each source and kind of ending: texts whose last block has it (ended), texts (at_risk), `ratio` times the hazard
     of the blocks before (neighbour_hazard), p_value, and the same over all sources (all_ended, all_at_risk, all_expected).
 
-    inner: source, kind, n of blocks before the last; last: source, kind of each text's last block. How far a block runs
-    beyond its last stop is a discrete length too; a text's blocks before its last one are the neighbours. Over all sources
+    kinds: source, kind, ended, blocks: numbers of texts' last blocks and of blocks before. How far a block runs on
+    after its last stop is a discrete length too; a text's blocks before its last one are the neighbours. Over all sources
     each one's expectation is its own, so sources that write in other ways don't hide what is amiss in others.
     """
-    inner = inner.groupBy("source", "kind").agg(F.sum("n").alias("blocks"))
-    last = last.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("ended"))
-    inner_of = inner.groupBy("source").agg(F.sum("blocks").alias("inner_of"))
-    last_of = last.groupBy("source").agg(F.sum("ended").alias("at_risk"))
-    rows = last.join(inner, ["source", "kind"], "full").join(inner_of, "source", "left").join(last_of, "source", "left")
-    rows = rows.na.fill(0, ["ended", "blocks", "inner_of", "at_risk"]).where("at_risk > 0")
+    rows = kinds.groupBy("source", "kind").agg(F.sum("ended").alias("ended"), F.sum("blocks").alias("blocks"))
+    source, kind = Window.partitionBy("source"), Window.partitionBy("kind")
+    rows = rows.withColumns({"inner_of": F.sum("blocks").over(source), "at_risk": F.sum("ended").over(source), "tests": F.count(F.lit(1)).over(source)})
+    rows = rows.where("at_risk > 0")
+    expected = F.col("at_risk") * F.col("blocks") / F.greatest("inner_of", F.lit(1))
+    of = kinds.agg(F.sum("ended").alias("all_at_risk"), F.sum("blocks").alias("all_inner"))
+    rows = rows.withColumns({"all_ended": F.sum("ended").over(kind), "expected": F.sum(expected).over(kind)}).crossJoin(F.broadcast(of))
     # Half a block is taken to have an ending that none has.
-    rows = rows.withColumn("neighbour_hazard", params.ratio * (F.col("blocks") + 0.5) / (F.col("inner_of") + 1))
-    every = rows.groupBy("kind").agg(F.sum("ended").alias("all_ended"), F.sum("blocks").alias("all_blocks"))
-    of = rows.select("source", "inner_of", "at_risk").distinct().agg(F.sum("inner_of").alias("all_inner"), F.sum("at_risk").alias("all_at_risk"))
-    stratified = rows.groupBy("kind").agg(F.sum(F.col("at_risk") * F.col("blocks") / F.greatest("inner_of", F.lit(1))).alias("expected"))
-    every = every.join(stratified, "kind").crossJoin(F.broadcast(of)).select(
-        "kind", "all_ended", "all_at_risk",
-        (params.ratio * (F.col("expected") + 0.5 * F.col("all_at_risk") / (F.col("all_inner") + 1)) / F.col("all_at_risk")).alias("all_expected"),
+    rows = rows.withColumn("neighbour_hazard", params.ratio * (F.col("blocks") + 0.5) / (F.col("inner_of") + 1)).withColumn(
+        "all_expected", params.ratio * (F.col("expected") / F.col("all_at_risk") + 0.5 / (F.col("all_inner") + 1))
     )
-    return rows.join(every, "kind").withColumn("p_value", _p_value(F.col("ended"), F.col("at_risk"), F.col("neighbour_hazard")))
+    return rows.withColumn("p_value", _p_value(F.col("ended"), F.col("at_risk"), F.col("neighbour_hazard")))
 
 
-def incomplete_endings(inner: DataFrame, last: DataFrame, params: CutParams = CutParams()) -> DataFrame:
+def incomplete_endings(kinds: DataFrame, params: CutParams = CutParams()) -> DataFrame:
     """source, kind of endings that texts have too often: in their source, or over all sources and more often in the
     source than its blocks before. Kinds that show a block to be whole are none."""
     whole = F.regexp_extract("kind", r", (.*)$", 1).isin(*_CLOSED)
-    hazards = shared_checkpoint(ending_hazards(inner, last, params).where(~whole & (F.col("ended") > 0)))
+    hazards = shared_checkpoint(ending_hazards(kinds, params).where(~whole & (F.col("ended") > 0)))
     here = _significant(hazards, ["source"], ["kind"], params).select("source", "kind")
-    pooled = hazards.select("kind", F.col("all_ended").alias("ended"), "all_at_risk", "all_expected").distinct()
-    pooled = pooled.withColumn("p_value", _p_value(F.col("ended"), F.col("all_at_risk"), F.col("all_expected")))
+    pooled = hazards.groupBy("kind").agg(F.first("all_ended").alias("ended"), F.first("all_at_risk").alias("n"), F.first("all_expected").alias("p"))
+    pooled = pooled.withColumn("p_value", _p_value(F.col("ended"), F.col("n"), F.col("p"))).withColumn(
+        "tests", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    )
     pooled = _significant(pooled, [], ["kind"], params).select("kind")
     more = hazards.where(F.col("ended") * F.col("inner_of") > F.col("blocks") * F.col("at_risk")).join(pooled, "kind").select("source", "kind")
     return here.union(more).distinct()
 
 
+def _marks(tails: DataFrame, kinds: DataFrame, params: CutParams) -> DataFrame:
+    """tail: what last blocks end in too often, of tails (tail, ended, blocks: in last blocks and in blocks before)."""
+    of = kinds.agg(F.sum("ended").alias("at_risk"), F.sum("blocks").alias("of"))
+    tails = tails.groupBy("tail").agg(F.sum("ended").alias("ended"), F.sum("blocks").alias("blocks")).where("ended > 0")
+    tests = tails.agg(F.count(F.lit(1)).alias("tests"))
+    tails = tails.crossJoin(F.broadcast(of)).crossJoin(F.broadcast(tests)).withColumn(
+        "p_value", _p_value(F.col("ended"), F.col("at_risk"), (F.col("blocks") + 0.5) / (F.col("of") + 1))
+    )
+    return _significant(tails, [], ["tail"], params).select("tail")
+
+
 def cut_texts(
     texts: DataFrame, path: str = "path", source: str = "docset", body: str = "body", params: CutParams = CutParams()
 ) -> DataFrame:
@@ -382,12 +388,9 @@ def cut_texts(
     forms = examined.select("source", F.explode(F.array_union("forms", "inner_forms")).alias("form")).where("form <> 0")
     stands = forms.groupBy("source", "form").agg(F.count(F.lit(1)).alias("n"))
     sizes = examined.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
-    many = stands.where(F.col("n") >= params.site_texts).join(sizes, "source").where(
-        F.col("n") >= F.col("of") * params.site_share
-    ).select("source", "form")
-    wide = stands.groupBy("form").agg(F.count(F.lit(1)).alias("sources")).where(F.col("sources") >= params.site_sources)
-    everywhere = stands.join(wide.select("form"), "form", "left_semi").select("source", "form")
-    site = shared_checkpoint(many.union(everywhere).distinct())
+    wide = F.count(F.lit(1)).over(Window.partitionBy("form")) >= params.site_sources
+    many = (F.col("n") >= params.site_texts) & (F.col("n") >= F.col("of") * params.site_share)
+    site = shared_checkpoint(stands.withColumn("wide", wide).join(sizes, "source").where(many | F.col("wide")).select("source", "form"))
     # Each text's last block that isn't the site's, and the kinds of those before it.
     asked = examined.select(*key, F.posexplode("forms").alias("at", "form")).where("form <> 0")
     hits = asked.join(site, ["source", "form"], "left_semi").groupBy(*key).agg(F.collect_set("at").alias("site_at"))
@@ -401,24 +404,24 @@ def cut_texts(
     ))
     last = own.where(F.col("kind").isNotNull())
     inner = examined.select("source", F.explode(F.arrays_zip("inner", "inner_n")).alias("i"))
-    inner = inner.select("source", F.col("i.inner").alias("kind"), F.col("i.inner_n").cast("long").alias("n"))
-    inner = inner.unionByName(own.select("source", F.explode("before").alias("kind"), F.lit(1).cast("long").alias("n")))
+    inner = inner.select("source", F.col("i.inner").alias("kind"), F.col("i.inner_n").cast("long").alias("blocks"))
+    inner = inner.unionByName(own.select("source", F.explode("before").alias("kind"), F.lit(1).cast("long").alias("blocks")))
     apart = examined.select("source", F.explode(F.arrays_zip("inner_forms", "inner_kinds")).alias("i"))
-    apart = apart.groupBy("source", F.col("i.inner_forms").alias("form"), F.col("i.inner_kinds").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    inner = inner.unionByName(apart.join(site, ["source", "form"], "left_anti").select("source", "kind", "n"))
-    incomplete = incomplete_endings(inner, last.select("source", "kind"), params).withColumn("incomplete", F.lit(True))
-    tails = last.where("tail <> 0").groupBy("tail").agg(F.count(F.lit(1)).alias("ended"))
-    inner_tails = examined.select(F.explode("inner_tails").alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("blocks"))
-    of = last.agg(F.count(F.lit(1)).alias("at_risk")).crossJoin(inner.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("of")))
-    tails = tails.join(inner_tails, "tail", "left").crossJoin(F.broadcast(of)).withColumn(
-        "p_value", _p_value(F.col("ended"), F.col("at_risk"), (F.coalesce("blocks", F.lit(0)) + 0.5) / (F.col("of") + 1))
+    apart = apart.groupBy("source", F.col("i.inner_forms").alias("form"), F.col("i.inner_kinds").alias("kind")).agg(F.count(F.lit(1)).alias("blocks"))
+    inner = inner.unionByName(apart.join(site, ["source", "form"], "left_anti").select("source", "kind", "blocks"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    kinds = last.select("source", "kind", one.alias("ended"), none.alias("blocks")).unionByName(inner.withColumn("ended", none))
+    kinds = shared_checkpoint(kinds.groupBy("source", "kind").agg(F.sum("ended").alias("ended"), F.sum("blocks").alias("blocks")))
+    incomplete = incomplete_endings(kinds, params).withColumn("incomplete", F.lit(True))
+    tails = last.where("tail <> 0").select("tail", one.alias("ended"), none.alias("blocks")).unionByName(
+        examined.select(F.explode("inner_tails").alias("tail"), none.alias("ended"), one.alias("blocks"))
     )
-    marks = _significant(tails, [], ["tail"], params).select("tail", F.lit(True).alias("marked"))
-    limits = shared_checkpoint(significant_lengths(examined, params))
-    near = lambda m: limits.where(F.col("measure") == m).select("source", F.col("length").alias(m), F.lit(True).alias(f"at_{m}"))
-    rows = last.join(near("chars"), ["source", "chars"], "left").join(near("bytes"), ["source", "bytes"], "left")
-    rows = rows.join(incomplete, ["source", "kind"], "left").join(marks, "tail", "left")
-    at_limit = F.coalesce("at_chars", "at_bytes", F.lit(False))
+    marks = _marks(tails, kinds, params).withColumn("marked", F.lit(True))
+    limits = significant_lengths(examined, params)
+    limits = limits.groupBy("source").agg(F.collect_list(F.struct("measure", "length")).alias("limits"))
+    rows = last.join(limits, "source", "left").join(incomplete, ["source", "kind"], "left").join(marks, "tail", "left")
+    here = lambda x: x["length"] == F.when(x["measure"] == "chars", F.col("chars")).otherwise(F.col("bytes"))
+    at_limit = F.coalesce(F.exists("limits", here), F.lit(False))
     whole = F.regexp_extract("kind", r", (.*)$", 1).isin(*_CLOSED)
     reason = (
         F.when(at_limit & ~whole & ~F.col("ended"), "limit").when(F.col("incomplete") & F.col("open"), "block")

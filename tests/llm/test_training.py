@@ -431,6 +431,9 @@ def test_garbled_texts(spark):
     ]):
         bad.append((1000 + n, garble(text, right, wrong, times)))
         want[1000 + n] = text
+    for n, head in enumerate(("#", "D")):  # byte-order marks, misread
+        bad.append((1100 + n, f"ï»¿{head} {RIGHT[n % 4]}"))
+        want[1100 + n] = f"\ufeff{head} {RIGHT[n % 4]}"
     lost = [(2000, "caf\ufffd na\ufffdve text"), (2001, garble(RIGHT[0], "latin-1", "utf-8"))]
     fine = [(3000, "Shows `Ã©` and `\ufffd` here."), (3001, "├── a\n└── b"), (3002, "\ufeffText"), (3003, "ÉQUIPE ÀÉ ×2 ±3° ½"), (3004, ""), (3005, None), (3006, "cut\ufffd")]
     df = spark.createDataFrame(sound + bad + lost + fine + bad[:1], "doc_id bigint, text string").withColumn("id", F.lit("clash"))
