@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +23,16 @@ class SearchOutcome:
     pages: DataFrame
     directory: bool
 
-    def output(self, query: str, max_tokens: int = 8000) -> str:
-        """The rendered text of the hits; at most top_k rows come to the driver."""
+    @cached_property
+    def found(self) -> list[dict]:
+        """The hits with their texts, in order, collected once: at most top_k rows come to the driver."""
         columns = ["level", "heading", "breadcrumb", "body", "url"]
-        rows = self.hits.join(self.sections.select("path", "sec_no", *columns), ["path", "sec_no"]).orderBy("rank")
-        return R.render(query, [r.asDict() | {"cited": self.directory} for r in rows.collect()], max_tokens)
+        rows = self.hits.join(self.sections.select("path", "sec_no", *columns), ["path", "sec_no"]).collect()
+        return [r.asDict() | {"cited": self.directory} for r in sorted(rows, key=lambda r: r["rank"])]
+
+    def output(self, query: str, max_tokens: int = 8000) -> str:
+        """The rendered text of the hits."""
+        return R.render(query, self.found, max_tokens)
 
 
 def search(

@@ -6,17 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def page_matches(page: Column, expected: Column) -> Column:
-    """Whether a page is an expected one: the same path, a path that ends in it, or one below a given prefix."""
-    prefix = expected.rlike("[/-]$")
-    below = F.startswith(page, expected) | F.contains(page, F.concat(F.lit("/"), expected))
-    same = (page == expected) | F.endswith(page, F.concat(F.lit("/"), expected))
-    return F.when(prefix, below).otherwise(same)
-
-
 def content_key(text: Column) -> Column:
     """Hash of a page without front matter; copies under other paths share it."""
-    lines = F.split(F.regexp_replace(text, r"\r\n?|\n", "\n"), "\n", -1)
+    # Every line end counts, as in text files read by lines.
+    lines = F.split(F.regexp_replace(text, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"), "\n", -1)
     # As lines are counted, a line end at the very end starts no further line.
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     fence = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "") == "---"
@@ -94,6 +87,11 @@ def quality(results: DataFrame) -> DataFrame:
     )
 
 
+def write_cases(results: DataFrame, to: str) -> None:
+    """Each case's outcome as JSON lines: case_id, docset, kind, rank (left out without one), returned."""
+    results.write.mode("overwrite").json(to)
+
+
 def misses(results: DataFrame) -> DataFrame:
     """Cases without a good page at the first rank, with what came back."""
     return results.where(F.col("rank").isNull() | (F.col("rank") > 1))

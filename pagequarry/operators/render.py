@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.operators.slicer import FenceTracker
+from pagequarry.operators.slicer import Fences
 from pagequarry.params import InvalidParam, TooLarge
 
 # What readers of the output parse.
@@ -35,13 +35,12 @@ def shortened(body: str, most: int) -> str:
     if len(body) <= most:
         return body
     kept = body[: body.rfind("\n", 0, most) + 1] or body[:most]
-    fence = FenceTracker()
+    fences = Fences()
     for line in kept.split("\n"):
-        fence.feed(line)
-    if fence.open:
-        mark, size = fence.open
-        kept += ("" if kept.endswith("\n") else "\n") + mark * size
-    return kept
+        fences.step(line)
+    if fences.mark and not kept.endswith("\n"):
+        kept += "\n"
+    return kept + fences.mark
 
 
 def block(hit: dict, share: int) -> str:
@@ -83,9 +82,11 @@ def rendered(hits: DataFrame, sections: DataFrame, queries: DataFrame, max_token
     """
     budget_of(max_tokens)
     columns = ["level", "heading", "breadcrumb", "body", "url"]
-    texts = sections.select("path", "sec_no", *columns).dropDuplicates(["path", "sec_no"])
+    # Few sections are hits; of rows with one (path, sec_no) the one with the largest hash is shown.
+    texts = sections.select("path", "sec_no", F.xxhash64(*columns).alias("__v"), F.struct(*columns).alias("s"))
     names = queries.groupBy("query_id").agg(F.min("query").alias("query"))
-    rows = hits.join(texts, ["path", "sec_no"]).groupBy("query_id").agg(
+    shown = hits.join(texts, ["path", "sec_no"]).groupBy("query_id", "rank").agg(F.max_by(F.struct("score", "path", "s"), "__v").alias("h"))
+    rows = shown.select("query_id", "rank", "h.score", "h.path", "h.s.*").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "score", "path", *columns))).alias("hits")
     ).join(names, "query_id").select("query_id", "query", "hits")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import matching as M
@@ -18,21 +19,38 @@ NEEDLE_BYTES = 8 << 20
 
 
 def prepared(sections: DataFrame, params: RankingParams = RankingParams()) -> DataFrame:
-    """Sections with the columns that matching reads: the index. Persist or write it where several searches follow.
+    """Sections with the columns that matching reads: rows of the index, row by row, without a shuffle.
 
-    Repeated rows count once. Null texts are empty, null level is 0; has_body and body_bytes are taken from the body,
-    as a given body_bytes may be null or outdated.
+    Null texts are empty, null level is 0; has_body and body_bytes are taken from the body, as a given body_bytes may be
+    null or outdated. `version` is a hash of all of them: of rows with one (path, sec_no) the search takes the largest.
     """
     fold = params.fold_diacritics
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return sections.select(
+    rows = sections.select(
         "path", "sec_no", F.coalesce("level", F.lit(0)).cast("int").alias("level"),
         M.normalized(text("heading"), fold).alias("heading_n"), M.normalized(text("body"), fold).alias("body_n"),
         M.normalized(F.array_join(F.coalesce("breadcrumb", F.array().cast("array<string>")), " "), fold).alias("crumb_n"),
         M.normalized(text("page"), fold).alias("page_n"), text("page").alias("page"), F.lower(text("page_stem")).alias("stem"),
         F.octet_length(text("body")).alias("body_bytes"), (M.unicode_trim(text("body")) != "").alias("has_body"),
         *[c for c in ("docset",) if c in sections.columns],
-    ).dropDuplicates(["path", "sec_no"])
+    )
+    return rows.withColumn("version", F.xxhash64("level", "heading_n", "crumb_n", "page", "stem", "body_n"))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One row of each (path, sec_no) of prepared sections: the largest version."""
+    others = [c for c in rows.columns if c not in ("path", "sec_no")]
+    return rows.groupBy("path", "sec_no").agg(F.max_by(F.struct(*others), "version").alias("r")).select("path", "sec_no", "r.*")
+
+
+def write_index(sections: DataFrame, to: str, params: RankingParams = RankingParams()) -> None:
+    """Writes prepared sections, each once, as Parquet; a search over read_index shuffles nothing to tell repeats."""
+    same = F.sha2(F.concat_ws("\0", "heading_n", M.unicode_trim(F.col("body_n"))), 256)
+    once(prepared(sections, params)).withColumn("same", same).withColumn("version", F.lit(None).cast("bigint")).write.mode("overwrite").parquet(to)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("version")
 
 
 def _sum(columns: list[Column], zero: float = 0.0) -> Column:
@@ -55,8 +73,12 @@ def term_flags(word: str, params: RankingParams) -> dict[str, Column]:
 
 def document_frequencies(sections: DataFrame, words: list[str], params: RankingParams = RankingParams()) -> DataFrame:
     """One row: n sections, df_0 .. df_k sections with each word in their body."""
-    aggs = [F.count_if(F.contains("body_n", F.lit(w))).alias(f"df_{i}") for i, w in enumerate(words)]
-    return sections.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    has = [F.contains("body_n", F.lit(w)).alias(f"has_{i}") for i, w in enumerate(words)]
+    version = [c for c in ("version",) if c in sections.columns]
+    rows = sections.select("path", "sec_no", *has, *version)
+    return (once(rows) if version else rows).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(f"has_{i}").alias(f"df_{i}") for i in range(len(words))]
+    )
 
 
 def idf(n: Column, df: Column, params: RankingParams) -> Column:
@@ -64,20 +86,34 @@ def idf(n: Column, df: Column, params: RankingParams) -> Column:
 
 
 def scored(sections: DataFrame, query: str, params: RankingParams = RankingParams()) -> DataFrame:
-    """path, sec_no, page, heading_n, body_n and score of the prepared sections that match a query, unrolled by keyword
-    so that doubles are added in the keywords' order."""
+    """path, sec_no, page, same and score of the prepared sections that match a query, unrolled by keyword so that doubles
+    are added in the keywords' order. `same` is a hash of what makes two sections equal.
+
+    Texts are read where they lie: what is shuffled, to tell repeated sections, is a row's numbers and flags. Rows of a
+    written index (without a column `version`) need no shuffle here.
+    """
     words = M.keywords_of(query, params.fold_diacritics)
     if not words:
         raise EmptyQuery
     k, p = len(words), params
-    stats = document_frequencies(sections, words, p)
-    weights = stats.select(*[idf(F.col("n"), F.col(f"df_{i}"), p).alias(f"w{i}") for i in range(k)])
     flags = [{name: f"{name}_{i}" for name in term_flags(w, p)} for i, w in enumerate(words)]
-    rows = sections.select("*", *[c.alias(f"{name}_{i}") for i, w in enumerate(words) for name, c in term_flags(w, p).items()])
     f = lambda i, name: F.col(flags[i][name])
-    matched = [(f(i, "occ") > 0) | f(i, "heading") | f(i, "crumb") | f(i, "page_word") for i in range(k)]
+    phrase = F.contains("heading_n", F.lit(" ".join(words))) | F.contains("body_n", F.lit(" ".join(words)))
+    rows = sections.select(
+        "*", *[c.alias(f"{name}_{i}") for i, w in enumerate(words) for name, c in term_flags(w, p).items()],
+        phrase.alias("phrased"), F.startswith("heading_n", F.lit(words[0])).alias("titled"),
+    )
+    matched = reduce(lambda a, b: a | b, [(f(i, "occ") > 0) | f(i, "heading") | f(i, "crumb") | f(i, "page_word") for i in range(k)])
+    same = F.col("same") if "same" in sections.columns else F.sha2(F.concat_ws("\0", "heading_n", M.unicode_trim(F.col("body_n"))), 256)
+    narrow = ["path", "sec_no", "page", "level", "stem", "body_bytes", "has_body", "phrased", "titled"]
+    narrow += [c for flag in flags for c in flag.values()] + [c for c in ("version",) if c in sections.columns]
+    rows = rows.select(*narrow, F.when(matched, same).alias("same"))
+    if "version" in sections.columns:
+        rows = once(rows)
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f(i, "occ") > 0).alias(f"df_{i}") for i in range(k)])
+    weights = stats.select(*[idf(F.col("n"), F.col(f"df_{i}"), p).alias(f"w{i}") for i in range(k)])
     # The filter comes before the weights: every weight is above 0, so what has no match has no score.
-    rows = rows.where(reduce(lambda a, b: a | b, matched)).crossJoin(F.broadcast(weights))
+    rows = rows.where(F.col("same").isNotNull()).crossJoin(F.broadcast(weights))
     w = [F.col(f"w{i}") for i in range(k)]
     avg = _sum(w) / k
     score, identity = F.lit(0.0), F.lit(0.0)
@@ -89,22 +125,21 @@ def scored(sections: DataFrame, query: str, params: RankingParams = RankingParam
         score = score + F.when(f(i, "crumb"), p.page_bonus * w[i]).otherwise(0.0)
     everywhere = reduce(lambda a, b: a & b, [f(i, "heading") | f(i, "crumb") | f(i, "page_sub") for i in range(k)])
     score = F.when(everywhere, score * p.all_in_headings_mult).otherwise(score)
-    phrase = " ".join(words)
     if k > 1:
-        has = F.contains("heading_n", F.lit(phrase)) | F.contains("body_n", F.lit(phrase))
-        score = score + F.when(has, p.phrase_bonus * avg).otherwise(0.0)
-    titled = (F.col("level") <= 2) & F.startswith("heading_n", F.lit(words[0]))
+        score = score + F.when(F.col("phrased"), p.phrase_bonus * avg).otherwise(0.0)
+    titled = (F.col("level") <= 2) & F.col("titled")
     titled = reduce(lambda a, b: a & b, [f(i, "heading") for i in range(k)], titled)
     score = score + F.when(titled, p.title_prefix_bonus * avg).otherwise(0.0)
     stem, paged = F.col("stem"), F.col("page") != ""
     whole = paged & stem.isin([j.join(words) for j in M.STEM_JOINERS])
     single = _sum([F.when(stem == x, p.stem_keyword_bonus * w[i]).otherwise(0.0) for i, x in enumerate(words)])
     identity = identity + F.when(whole, p.stem_query_bonus * avg).when(paged, single).otherwise(0.0)
-    coverage = _sum([m.cast("int") for m in matched], 0) / k
+    hit = [(f(i, "occ") > 0) | f(i, "heading") | f(i, "crumb") | f(i, "page_word") for i in range(k)]
+    coverage = _sum([m.cast("int") for m in hit], 0) / k
     score = score * coverage
     score = score / (1 + F.sqrt(F.col("body_bytes") / p.len_norm_bytes)) + identity * coverage
     score = F.when(F.col("has_body"), score).otherwise(score * p.empty_body_factor)
-    return rows.select("path", "sec_no", "page", "heading_n", "body_n", score.alias("score"))
+    return rows.select("path", "sec_no", "page", "same", score.alias("score"))
 
 
 def _best_first() -> list[Column]:
@@ -112,11 +147,9 @@ def _best_first() -> list[Column]:
 
 
 def deduplicated(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The best of hits with equal headings and trimmed bodies (by hash, so long bodies aren't shuffled)."""
-    key = [F.sha2("heading_n", 256), F.sha2(M.unicode_trim(F.col("body_n")), 256)]
-    hits = hits.select("*", F.concat(*key).alias("__same")).drop("heading_n", "body_n")
-    rank = F.row_number().over(Window.partitionBy(*by, "__same").orderBy(*_best_first()))
-    return hits.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__same")
+    """The best of hits with equal headings and trimmed bodies, by their hash."""
+    rank = F.row_number().over(Window.partitionBy(*by, "same").orderBy(*_best_first()))
+    return hits.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "same")
 
 
 def capped(hits: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -172,16 +205,18 @@ def _needle_blocks(terms: DataFrame) -> Iterator[dict[str, set[str]]]:
 
 
 def needle_matches(sections: DataFrame, terms: DataFrame, params: RankingParams = RankingParams()) -> DataFrame:
-    """Every needle that a prepared section of an asking scope has somewhere: scope, path, sec_no, needle and flags.
+    """Every needle that a prepared section of an asking scope has somewhere: scope, path, sec_no, needle and flags; of
+    rows with one (path, sec_no) the largest version's.
 
     Each section is read once for all needles of a block; the work grows with text and matches, not with queries times
     sections, and a larger query set takes more passes, not more memory.
     """
     spark = sections.sparkSession
-    fields = "scope string, path string, sec_no int, needle string, occ int, whole boolean, line boolean, heading boolean, crumb boolean, page_word boolean, page_sub boolean, title boolean"  # noqa: E501
+    fields = "scope string, path string, sec_no int, version bigint, needle string, occ int, whole boolean, line boolean, heading boolean, crumb boolean, page_word boolean, page_sub boolean, title boolean"  # noqa: E501
     names = [x.split()[0] for x in fields.split(", ")]
-    texts = sections.select(F.col("docset").alias("scope"), "path", "sec_no", "body_n", "heading_n", "crumb_n", "page_n")
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), *[pa.bool_()] * 7]
+    version = F.col("version") if "version" in sections.columns else F.lit(0).cast("bigint")
+    texts = sections.select(F.col("docset").alias("scope"), "path", "sec_no", version.alias("version"), "body_n", "heading_n", "crumb_n", "page_n")
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), *[pa.bool_()] * 7]
     found = None
     for block in _needle_blocks(terms):
         sent = spark.sparkContext.broadcast(block)
@@ -190,7 +225,7 @@ def needle_matches(sections: DataFrame, terms: DataFrame, params: RankingParams
             scan = NeedleScan(sent.value, params.occ_cap)
             for batch in batches:
                 rows: list[tuple] = []
-                for section in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                for section in zip(*(batch.column(i).to_pylist() for i in range(8))):
                     rows += scan.of(*section)
                     if len(rows) > 50_000:
                         yield _batch(rows, names, kinds)
@@ -199,7 +234,13 @@ def needle_matches(sections: DataFrame, terms: DataFrame, params: RankingParams
 
         part = texts.mapInArrow(run, fields)
         found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], fields) if found is None else found
+    if found is None:
+        return spark.createDataFrame([], fields).drop("version")
+    if "version" in sections.columns:
+        # Of the sections only their keys are shuffled.
+        last = sections.groupBy("path", "sec_no").agg(F.max("version").alias("version"))
+        found = found.join(last, ["path", "sec_no", "version"], "left_semi").dropDuplicates(["scope", "path", "sec_no", "needle"])
+    return found.drop("version")
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -210,7 +251,7 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 class NeedleScan:
     """Finds a scope's needles in its sections: one by one where they are few, else by an automaton over all of them."""
 
-    #: Needles of a scope up to which looking for each is faster.
+    #: Needles of a scope up to which looking for each is faster; the rows are the same.
     FEW = 300
 
     def __init__(self, needles: dict[str, set[str]], cap: int, few: int = FEW) -> None:
@@ -223,32 +264,26 @@ class NeedleScan:
 
     def _automaton(self, scope: str):
         if scope not in self.automata:
-            try:
-                import ahocorasick
-            except ImportError:
-                self.automata[scope] = None
-            else:
-                automaton = ahocorasick.Automaton()
-                for needle in self.by_scope[scope]:
-                    automaton.add_word(needle, needle)
-                automaton.make_automaton()
-                self.automata[scope] = automaton
+            automaton = self.automata[scope] = ahocorasick.Automaton()
+            for needle in self.by_scope[scope]:
+                automaton.add_word(needle, needle)
+            automaton.make_automaton()
         return self.automata[scope]
 
     def _present(self, text: str, scope: str) -> set[str]:
         needles = self.by_scope.get(scope, ())
-        if len(needles) > self.few and (automaton := self._automaton(scope)) is not None:
-            return {needle for _, needle in automaton.iter(text)}
+        if len(needles) > self.few:
+            return {needle for _, needle in self._automaton(scope).iter(text)}
         return {n for n in needles if n in text}
 
-    def of(self, scope: str, path: str, sec_no: int, body: str, heading: str, crumb: str, page: str) -> list[tuple]:
+    def of(self, scope: str, path: str, sec_no: int, version: int, body: str, heading: str, crumb: str, page: str) -> list[tuple]:
         rows = []
         # No needle has a line end in it, so none is found across fields.
         for needle in self._present(f"{body}\n{heading}\n{crumb}\n{page}", scope):
             n = body.count(needle)
             in_page = needle in page
             rows.append((
-                scope, path, sec_no, needle, min(self.cap, n), n > 0 and _any_whole(body, needle),
+                scope, path, sec_no, version, needle, min(self.cap, n), n > 0 and _any_whole(body, needle),
                 n > 0 and bool(page) and _defines(body, needle), needle in heading, needle in crumb,
                 in_page and _any_whole(page, needle), in_page, heading.startswith(needle),
             ))
@@ -277,8 +312,8 @@ def _defines(text: str, needle: str) -> bool:
 
 
 def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams = RankingParams()) -> DataFrame:
-    """query_id, path, sec_no, page, __same, score: every section of a query's docset that matches it, by the scores of
-    `scored`; __same is a hash of what makes two sections equal.
+    """query_id, path, sec_no, page, same, score: every section of a query's docset that matches it, by the scores of
+    `scored`; same is a hash of what makes two sections equal.
 
     Matches of (docset, keyword) are joined with the queries' terms, so pairs without a match never exist. Document
     frequencies are counted by docset and keyword. Sums over keywords run in the keywords' order.
@@ -286,7 +321,11 @@ def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams
     terms = query_terms(queries, params)
     # Read three times below.
     found = shared_checkpoint(needle_matches(sections, terms, params))
-    counts = sections.groupBy(F.col("docset").alias("scope")).agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("same") if "same" in sections.columns else F.sha2(F.concat_ws("\0", "heading_n", M.unicode_trim(F.col("body_n"))), 256)
+    version = [c for c in ("version",) if c in sections.columns]
+    texts = sections.select("path", "sec_no", "docset", "level", "page", "stem", "body_bytes", "has_body", same.alias("same"), *version)
+    texts = once(texts) if version else texts
+    counts = texts.groupBy(F.col("docset").alias("scope")).agg(F.count(F.lit(1)).alias("n"))
     df = found.where(F.col("occ") > 0).groupBy("scope", "needle").agg(F.count(F.lit(1)).alias("df"))
     words = terms.select("query_id", "scope", F.posexplode("words").alias("pos", "needle"))
     weighted = words.join(df, ["scope", "needle"], "left").join(counts, "scope").withColumn(
@@ -313,10 +352,8 @@ def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams
         F.max(F.col("pos") < 0).alias("phrased"),
         F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "w", *flags)))).alias("terms"),
     ).where(F.size("terms") > 0)
-    same = F.sha2(F.concat_ws("\0", "heading_n", M.unicode_trim(F.col("body_n"))), 256)
-    texts = sections.select("path", "sec_no", "level", "page", "stem", "body_bytes", "has_body", same.alias("__same"))
     rows = hits.join(per_query.select("query_id", "ws", "k", "avg_w"), "query_id").join(texts, ["path", "sec_no"])
-    return rows.select("query_id", "path", "sec_no", "page", "__same", _batch_score(params).alias("score")).where(
+    return rows.select("query_id", "path", "sec_no", "page", "same", _batch_score(params).alias("score")).where(
         F.col("score").isNotNull()
     )
 
@@ -361,8 +398,7 @@ def batch_search(
     if top_k < 1:
         raise InvalidParam("top_k")
     hits = batch_scored(queries, sections, params)
-    best = F.row_number().over(Window.partitionBy("query_id", "__same").orderBy(*_best_first()))
-    hits = hits.withColumn("__rank", best).where("__rank = 1").drop("__rank", "__same")
+    hits = deduplicated(hits, ("query_id",))
     hits = capped(hits, params.max_sections_per_page, ("query_id",))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*_best_first()))
     return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top_k).select("query_id", "rank", "score", "path", "sec_no")

@@ -29,27 +29,28 @@ class Section(NamedTuple):
     end: int
 
 
-class FenceTracker:
-    """State of fenced code along the lines of a page: (character, length) of the open fence, or None."""
+#: What a line is to fenced code.
+OUTSIDE, OPENS, WITHIN, CLOSES = "outside", "opens", "within", "closes"
+
+
+class Fences:
+    """Follows fenced code along the lines of a page. mark is the open fence's run of characters, '' where none is open."""
 
     def __init__(self) -> None:
-        self.open: tuple[str, int] | None = None
-
-    def feed(self, line: str) -> tuple[bool, bool]:
-        """Whether the line opens a fence, and whether it closes one."""
-        if self.open:
-            mark, size = self.open
-            bare = line.lstrip(" ")
-            run = len(bare) - len(bare.lstrip(mark))
-            if len(line) - len(bare) <= 3 and run >= size and not bare[run:].strip():
-                self.open = None
-                return False, True
-            return False, False
-        if m := _FENCE.match(line):
-            run = m.group(1) or m.group(2)
-            self.open = run[0], len(run)
-            return True, False
-        return False, False
+        self.mark = ""
+
+    def step(self, line: str) -> str:
+        """What the next line is: OUTSIDE, OPENS, WITHIN or CLOSES."""
+        if self.mark:
+            closer = re.fullmatch(r" {0,3}(%s+)\s*" % re.escape(self.mark[0]), line)
+            if closer and len(closer[1]) >= len(self.mark):
+                self.mark = ""
+                return CLOSES
+            return WITHIN
+        opener = _FENCE.match(line)
+        if opener:
+            self.mark = opener[1] or opener[2]
+        return OPENS if opener else OUTSIDE
 
 
 def slice_text(text: str, max_level: int = 3) -> Iterator[Section]:
@@ -60,7 +61,7 @@ def slice_text(text: str, max_level: int = 3) -> Iterator[Section]:
     heading. A one-line paragraph over a row of = or - is a heading of level 1 or 2, whatever max_level is.
     """
     max_level = min(6, max(1, max_level))
-    fence, stack, count = FenceTracker(), [], 0
+    fences, stack, count = Fences(), [], 0
     level, heading, crumbs, start = 0, "", [], 0
     paragraph: tuple[int, str, int] | None = None  # where it begins, its text, its lines
     at = 0
@@ -73,9 +74,7 @@ def slice_text(text: str, max_level: int = 3) -> Iterator[Section]:
     for line in re.findall(r"[^\n]*\n|[^\n]+", text):
         begin, at = at, at + len(line)
         found: tuple[int, str, int] | None = None  # level, heading, where the section before it ends
-        inside = fence.open is not None
-        opens, _ = fence.feed(line)
-        if inside or opens:
+        if fences.step(line) != OUTSIDE:
             paragraph = None
             continue
         if (m := _HEADING.match(line)) and len(m.group(1)) <= max_level:
@@ -137,12 +136,20 @@ def register(spark: SparkSession) -> None:
 def sections_of(pages: DataFrame, max_level: int = 3) -> DataFrame:
     """Sections of pages (path, body, and page_name, page_stem, url, docset where there are such columns).
 
-    Each page is sliced on its own, in Arrow batches. Pages delivered again are sliced once; a null path or body has
-    no sections. Missing names are empty, as in a corpus of a single file.
+    Each page is sliced on its own, in Arrow batches. A path delivered more than once is sliced once: the row ingested
+    last where there is a column ingested_at, of equal ones that whose body has the largest hash, so that sections of
+    two versions never mix. A null path or body has no sections. Missing names are empty, as in a corpus of a single file.
+    Bodies are shuffled once, before slicing, and sections not at all.
     """
     have = set(pages.columns)
     text = lambda c: (F.col(c) if c in have else F.lit(None)).cast("string")
-    picked = pages.where(F.col("body").isNotNull() & F.col("path").isNotNull()).select(
+    last = F.col("ingested_at").cast("timestamp") if "ingested_at" in have else F.lit(None).cast("timestamp")
+    order = F.struct(F.coalesce(last, F.timestamp_seconds(F.lit(0))), F.xxhash64("body"))
+    picked = pages.where(F.col("body").isNotNull() & F.col("path").isNotNull()).groupBy("path").agg(
+        F.max_by(F.struct(*[F.col(c) for c in ("page_name", "page_stem", "url", "docset") if c in have], "body"), order).alias("r")
+    ).select("path", "r.*")
+    have = set(picked.columns)
+    picked = picked.select(
         "path", F.coalesce(text("page_name"), F.lit("")).alias("page"),
         F.coalesce(text("page_stem"), F.lit("")).alias("page_stem"), text("url").alias("url"), text("docset").alias("docset"),
         "body",
@@ -163,7 +170,7 @@ def sections_of(pages: DataFrame, max_level: int = 3) -> DataFrame:
             own = [pa.array(list(c), k) for c, k in zip(cols, kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(index) for i in range(5)), *own], names=names)
 
-    return picked.mapInArrow(run, f"{carried}, {_FIELDS}").dropDuplicates(["path", "sec_no"])
+    return picked.mapInArrow(run, f"{carried}, {_FIELDS}")
 
 
 def heading_statistics(pages: DataFrame) -> DataFrame:
@@ -174,12 +181,9 @@ def heading_statistics(pages: DataFrame) -> DataFrame:
         for batch in batches:
             balanced, headings = [], []
             for body in batch.column(1).to_pylist():
-                fence, n = FenceTracker(), 0
-                for line in body.split("\n"):
-                    inside = fence.open is not None
-                    opens, _ = fence.feed(line)
-                    n += not inside and not opens and head.match(line) is not None
-                balanced.append(fence.open is None)
+                fences = Fences()
+                n = sum(fences.step(line) == OUTSIDE and head.match(line) is not None for line in body.split("\n"))
+                balanced.append(not fences.mark)
                 headings.append(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(balanced, pa.bool_()), pa.array(headings, pa.int32())],

@@ -23,6 +23,11 @@ def _sections(spark: SparkSession, folder: str) -> DataFrame:
     return search.prepared(table(spark, folder, "sections"), PARAMS)
 
 
+def _once(spark: SparkSession, folder: str, *columns: Column | str) -> DataFrame:
+    """Columns of the prepared sections, each section once."""
+    return search.once(_sections(spark, folder).select("path", "sec_no", *columns, "version")).drop("version")
+
+
 def _joined(words: str | Column) -> Column:
     return F.array_join(words, " ")
 
@@ -106,7 +111,7 @@ def term_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, folder: str, word: str) -> DataFrame:
-    return _sections(spark, folder).select("path", "sec_no", *[c.alias(n) for n, c in search.term_flags(word, PARAMS).items()])
+    return _once(spark, folder, *[c.alias(n) for n, c in search.term_flags(word, PARAMS).items()])
 
 
 def occurrence_count(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,8 +119,8 @@ def occurrence_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def whole_word_count(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _sections(spark, folder).where(F.contains("body_n", F.lit("cache")))
-    return rows.select("path", "sec_no", M.whole_words(F.col("body_n"), "cache").alias("whole"))
+    has = F.contains("body_n", F.lit("cache"))
+    return _once(spark, folder, F.when(has, M.whole_words(F.col("body_n"), "cache")).alias("whole")).where("whole is not null")
 
 
 def definition_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,12 +129,12 @@ def definition_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def phrase_match(spark: SparkSession, folder: str) -> DataFrame:
     has = F.contains("heading_n", F.lit(ONE)) | F.contains("body_n", F.lit(ONE))
-    return _sections(spark, folder).where(has).select("path", "sec_no")
+    return _once(spark, folder, has.alias("has")).where("has").select("path", "sec_no")
 
 
 def title_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _sections(spark, folder).where((F.col("level") <= 2) & F.startswith("heading_n", F.lit("cache")))
-    return rows.select("path", "sec_no", "heading_n")
+    rows = _once(spark, folder, "level", "heading_n")
+    return rows.where((F.col("level") <= 2) & F.startswith("heading_n", F.lit("cache"))).select("path", "sec_no", "heading_n")
 
 
 def stem_match(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +143,7 @@ def stem_match(spark: SparkSession, folder: str) -> DataFrame:
     stems = terms.select(
         "query_id", "scope", F.explode(F.array_distinct(F.array(*[F.array_join("words", j) for j in M.STEM_JOINERS]))).alias("stem")
     )
-    pages = _sections(spark, folder).where("page <> ''").select(F.col("docset").alias("scope"), "stem", "page").distinct()
+    pages = _once(spark, folder, "docset", "stem", "page").where("page <> ''").select(F.col("docset").alias("scope"), "stem", "page").distinct()
     return stems.join(pages, ["scope", "stem"]).select("query_id", "page").distinct()
 
 
@@ -154,7 +159,7 @@ def idf_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def length_normalized(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _sections(spark, folder)
+    rows = _once(spark, folder, "body_bytes")
     return rows.select("path", "sec_no", F.round(1 / (1 + F.sqrt(F.col("body_bytes") / PARAMS.len_norm_bytes)), 6).alias("factor"))
 
 
@@ -346,7 +351,7 @@ gd AS (SELECT DISTINCT ex.case_id, e, pg.path FROM ex JOIN pg ON pg.docset = ex.
               ELSE inside = e OR ends_with(inside, '/' || e) END)
 """
 _KEY = """
-kt AS (SELECT DISTINCT path, body, regexp_replace(regexp_replace(body, '\r\n?', chr(10), 'g'), '\n$', '') AS t FROM pages WHERE body IS NOT NULL),
+kt AS (SELECT DISTINCT path, body, regexp_replace(regexp_replace(body, '\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n$', '') AS t FROM pages WHERE body IS NOT NULL),
 kl AS (SELECT path, string_split(t, chr(10)) AS ls FROM kt),
 ky AS (SELECT DISTINCT path, sha256(array_to_string(CASE WHEN trim(ls[1]) = '---' AND
          len(list_filter(ls, lambda x: trim(x) = '---')) > 1 THEN ls[list_filter(range(2, len(ls) + 1), lambda i: trim(ls[i]) = '---')[1] + 1:]

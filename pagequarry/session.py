@@ -16,12 +16,16 @@ BROADCAST_BYTES = 32 << 20
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the folder of spark.checkpoint.dir and read from there, so that a lost executor loses nothing.
 
-    A folder of its own is made only where the session names none (local tests).
+    A folder of its own is made only in local mode where the session names none (tests); on a cluster that is an error.
+    What is written is removed once nothing refers to it, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -60,13 +60,16 @@ def fetched(links_: DataFrame, fetch: Callable[[str], str], tries: int = 3, wait
     return links_.select("link").mapInArrow(run, "link string, text string, error string")
 
 
+# Fixed value: what counts as front matter of a fetched page.
+FETCHED_FRONT = r"(?s)\A---\s*\n.*?\n---\s*\n"
+
+
 def concatenated(pages: DataFrame, order: str = "link", text: str = "text") -> DataFrame:
-    """One text of all pages in order: front matter off, white space at the end replaced by a blank line."""
-    bare = F.regexp_replace(text, r"(?s)\A---\s*\n.*?\n---\s*\n", "")
-    bare = F.concat(F.regexp_replace(bare, r"(?U)\s+\z", ""), F.lit("\n\n"))
-    return pages.where(F.col(text).isNotNull()).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), bare.alias("t")))), lambda x: x["t"]), "").alias("text")
-    )
+    """The text of all pages in order, a row (order, text) for each: front matter off, white space at the end replaced by
+    a blank line. Joined without separators the rows are the corpus; they are sorted across partitions, so that no task
+    holds it all."""
+    bare = F.concat(F.regexp_replace(F.regexp_replace(text, FETCHED_FRONT, ""), r"(?U)\s+\z", ""), F.lit("\n\n"))
+    return pages.where(F.col(text).isNotNull()).select(F.col(order).alias(order), bare.alias("text")).orderBy(order)
 
 
 def _book(data: bytes) -> zipfile.ZipFile:
@@ -135,9 +138,10 @@ def relevance_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_corpus(text: DataFrame, stem: str, folder: str, pages: DataFrame | None = None, built: str | None = None) -> None:
-    """Text sinks: <stem>_clean.md, <stem>.pages.txt and BUILT_AT.txt as folders that Spark writes."""
-    text.select(F.col("text").alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{stem}_clean.md")
+    """Text sinks: <stem>_clean.md, <stem>.pages.txt and BUILT_AT.txt as folders of parts in order that Spark writes, each
+    by as many tasks as its rows have partitions. Rows end with a line feed, those that have one with that."""
+    text.select(F.regexp_replace("text", r"\n\z", "").alias("value")).write.mode("overwrite").text(f"{folder}/{stem}_clean.md")
     if pages is not None:
-        pages.select(F.col("link").alias("value")).orderBy("value").coalesce(1).write.mode("overwrite").text(f"{folder}/{stem}.pages.txt")
+        pages.select(F.col("link").alias("value")).orderBy("value").write.mode("overwrite").text(f"{folder}/{stem}.pages.txt")
     if built is not None:
-        text.sparkSession.range(1).select(F.lit(built).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/BUILT_AT.txt")
+        text.sparkSession.range(1).select(F.lit(built).alias("value")).write.mode("overwrite").text(f"{folder}/BUILT_AT.txt")

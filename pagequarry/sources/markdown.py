@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -63,8 +64,24 @@ def pages_from(raw: DataFrame, path: str = "path", text: str = "text", single: b
 
 
 # ---- directories
+def _store(path: str) -> tuple[fs.FileSystem, str] | None:
+    """The store and the place in it of a path with a scheme (s3://, gs://, hdfs://, file://); None for a local path."""
+    return fs.FileSystem.from_uri(path) if "://" in path else None
+
+
+def _stored_files(root: str) -> list[tuple[str, int]]:
+    store, place = _store(root)
+    place = place.rstrip("/")
+    found = []
+    for info in store.get_file_info(fs.FileSelector(place, recursive=True)):
+        inside = info.path[len(place) :].strip("/")
+        if info.type == fs.FileType.File and inside.lower().endswith(".md") and not any(x.startswith(".") for x in inside.split("/")):
+            found.append((inside, info.size))
+    return sorted(found, key=lambda x: x[0].encode("utf-8", "surrogateescape"))
+
+
 def markdown_files(root: str, every: bool = False) -> list[str]:
-    """Relative paths of a directory's Markdown files, in byte order of their UTF-8.
+    """Relative paths of a local directory's Markdown files, in byte order of their UTF-8.
 
     Hidden files and directories (a leading dot) are skipped, and links to directories aren't followed; names with a
     leading underscore count. every: also hidden files, but only a lower-case extension, as checks of expected pages use.
@@ -80,6 +97,13 @@ def markdown_files(root: str, every: bool = False) -> list[str]:
     return sorted(found, key=lambda p: p.encode("utf-8", "surrogateescape"))
 
 
+def corpus_files(root: str) -> list[tuple[str, int]]:
+    """Relative paths and sizes of a corpus's Markdown files, local or in a store, in byte order."""
+    if _store(root):
+        return _stored_files(root)
+    return [(p, os.path.getsize(os.path.join(root, p))) for p in markdown_files(root)]
+
+
 class _Chunk(InputPartition):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
@@ -90,12 +114,11 @@ class MarkdownReader(DataSourceReader):
     CHUNK = 32 << 20
 
     def __init__(self, options: dict[str, str]) -> None:
-        self.root = options["path"].removeprefix("file://")
+        self.root = options["path"]
 
     def partitions(self) -> list[_Chunk]:
         chunks, size = [_Chunk([])], 0
-        for path in markdown_files(self.root):
-            own = os.path.getsize(os.path.join(self.root, path))
+        for path, own in corpus_files(self.root):
             if chunks[-1].paths and size + own > self.CHUNK:
                 chunks.append(_Chunk([]))
                 size = 0
@@ -104,15 +127,17 @@ class MarkdownReader(DataSourceReader):
         return chunks
 
     def read(self, partition: _Chunk) -> Iterator[tuple[str, str]]:
+        store, place = _store(self.root) or (fs.LocalFileSystem(), os.path.abspath(self.root))
         for path in partition.paths:
-            with open(os.path.join(self.root, path), "rb") as file:
+            with store.open_input_stream(f"{place.rstrip('/')}/{path}") as file:
                 yield path, file.read().decode("utf-8")  # bytes that aren't UTF-8 are an error, not replaced
 
 
 class MarkdownDirectory(DataSource):
     """spark.read.format("markdown_dir").load(folder): path, text of its Markdown files, in chunks by size.
 
-    Spark's own file sources hide names with a leading underscore, which are pages here.
+    The folder is local or in an object store, read by Arrow's file systems: Spark's own file sources hide names with a
+    leading underscore, which are pages here.
     """
 
     @classmethod
@@ -127,26 +152,19 @@ class MarkdownDirectory(DataSource):
 
 
 def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
-    """Pages of a file or a directory, and whether it is a directory."""
-    if os.path.isdir(path):
-        if not markdown_files(path):
+    """Pages of a file or a directory, local or in a store, and whether it is a directory."""
+    stored = _store(path)
+    is_folder = stored[0].get_file_info(stored[1]).type == fs.FileType.Directory if stored else os.path.isdir(path)
+    if is_folder:
+        if not corpus_files(path):
             raise NoMarkdown(path)
         spark.dataSource.register(MarkdownDirectory)
         return pages_from(spark.read.format("markdown_dir").load(path)), True
+    store, place = stored or (fs.LocalFileSystem(), path)
     try:
-        with open(path, "rb") as file:
+        with store.open_input_stream(place) as file:
             text = file.read().decode("utf-8")
     except (OSError, UnicodeDecodeError) as e:
         raise SourceError(e) from e
     raw = spark.createDataFrame([(os.path.basename(path), text)], "path string, text string")
     return pages_from(raw, single=True), False
-
-
-def load_corpus_table(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of any path that Spark can read (object stores too), where no name starts with an underscore."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(path)
-    root = path.rstrip("/") + "/"
-    inside = F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), root, -1)
-    hidden = F.col("path").rlike(r"/\.[^/]")
-    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path")))
-    return pages_from(files.where(~hidden).select(inside.alias("path"), text.alias("text")))
