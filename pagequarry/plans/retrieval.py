@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import matching as M
 from pagequarry.operators import evaluate, normalize, render, search, slicer
 from pagequarry.params import RankingParams
-from pagequarry.plans import sql
+from pagequarry.plans import sql, sql_text
 from pagequarry.session import table
 from pagequarry.sources import collections, markdown
 
@@ -138,8 +138,9 @@ def title_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stem_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries of which a page of their docset has the stem."""
-    terms = search.query_terms(table(spark, folder, "queries"))
+    """Of every page's stem, taken apart into words as someone would ask for it: the pages of its docset with that stem."""
+    words = F.regexp_replace("page_stem", r"[-_.]", " ").alias("query")
+    terms = search.query_terms(table(spark, folder, "pages").select(F.col("path").alias("query_id"), words, "docset"))
     stems = terms.select(
         "query_id", "scope", F.explode(F.array_distinct(F.array(*[F.array_join("words", j) for j in M.STEM_JOINERS]))).alias("stem")
     )
@@ -298,13 +299,21 @@ def scaffold_strip(spark: SparkSession, folder: str) -> DataFrame:
     return lines.where("kept").groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def normalized_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of a family whose fences are healed and whose scaffolding is stripped; CR left out of the hash."""
+    rows = normalize.normalized(_glued(spark, folder), "godot")
+    return rows.select("path", F.sha2(F.regexp_replace("body", "\r", ""), 256).alias("body_hash"))
+
+
 def rule_counters(spark: SparkSession, folder: str) -> DataFrame:
     return normalize.rule_counts(normalize.strip_scaffolding(_glued(spark, folder)))
 
 
 def link_source(spark: SparkSession, folder: str) -> DataFrame:
-    """Links of an index made of all pages' paths."""
-    index = F.concat(F.lit("[x](/docs/"), F.col("path"), F.lit(") [y](/other/"), F.col("path"), F.lit(")"))
+    """Links of indexes made of all pages' paths, among others that are none or look like some."""
+    parts = ("[x](/docs/", "path", ") [y](/other/", "path", ") (/docs/", "path", "#part) [z](/docs/a(b/", "path", ") [w](/docs/", "docset", "/index.mdx) [v](/docs/",
+             "docset", "/p).md)(/docs/", "page_stem", ".md)")
+    index = F.concat(*[F.col(x) if x in ("path", "docset", "page_stem") else F.lit(x) for x in parts])
     return collections.links(table(spark, folder, "pages").select(index.alias("text")))
 
 
@@ -314,7 +323,7 @@ _NAMES = (
     definition_lines, phrase_match, title_prefix, stem_match, document_frequency, idf_weights, length_normalized,
     section_scores, section_scores_dir, dedup_sections, page_cap, top_k_hits, search_or_coverage, search_no_match, search_folded,
     batch_scores, batch_search, render_output, render_block, expected_missing, eval_ranks, eval_metrics, eval_misses, eval_assertions,
-    midline_fence_fix, fence_heal, scaffold_strip, rule_counters, link_source,
+    midline_fence_fix, fence_heal, scaffold_strip, rule_counters, normalized_pages, link_source,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -350,7 +359,7 @@ gd AS (SELECT DISTINCT ex.case_id, e, pg.path FROM ex JOIN pg ON pg.docset = ex.
          CASE WHEN e[-1] IN ('/', '-') THEN starts_with(inside, e) OR contains(inside, '/' || e)
               ELSE inside = e OR ends_with(inside, '/' || e) END)
 """
-_KEY = """
+_KEY = r"""
 kt AS (SELECT DISTINCT path, body, regexp_replace(regexp_replace(body, '\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n$', '') AS t FROM pages WHERE body IS NOT NULL),
 kl AS (SELECT path, string_split(t, chr(10)) AS ls FROM kt),
 ky AS (SELECT DISTINCT path, sha256(array_to_string(CASE WHEN trim(ls[1]) = '---' AND
@@ -422,7 +431,9 @@ ORACLES = {
     "definition_lines": _PREPARED + f"SELECT path, sec_no FROM s WHERE page <> '' AND contains(b, 'cache') AND {sql.starts_line('b', chr(39) + 'cache' + chr(39))}",
     "phrase_match": _PREPARED + f"SELECT path, sec_no FROM s WHERE contains(h, '{ONE}') OR contains(b, '{ONE}')",
     "title_prefix": _PREPARED + "SELECT path, sec_no, h AS heading_n FROM s WHERE level <= 2 AND starts_with(h, 'cache')",
-    "stem_match": sql.with_(sql.QUERIES, sql.SECTIONS) + """SELECT DISTINCT query_id, page FROM ql JOIN s USING (docset) WHERE page <> '' AND
+    "stem_match": sql.with_(
+        "queries AS (SELECT DISTINCT path AS query_id, regexp_replace(page_stem, '[-_.]', ' ', 'g') AS query, docset FROM pages)", sql.QUERIES, sql.SECTIONS
+    ) + """SELECT DISTINCT query_id, page FROM ql JOIN s USING (docset) WHERE page <> '' AND
         list_contains([array_to_string(words, ''), array_to_string(words, '-'), array_to_string(words, '_'), array_to_string(words, '.'), array_to_string(words, ' ')], stem)""",
     "document_frequency": _PREPARED + """SELECT count(*) AS n, count_if(contains(b, 'search'))::BIGINT AS df_0, count_if(contains(b, 'index'))::BIGINT AS df_1,
         count_if(contains(b, 'first'))::BIGINT AS df_2 FROM s""",
@@ -453,5 +464,18 @@ ORACLES = {
     "eval_metrics": _EVALUATED + """SELECT docset, kind, count(*) AS cases, count_if(rank <= 1)::BIGINT AS hit1, count_if(rank <= 3)::BIGINT AS hit3,
         count_if(rank <= 5)::BIGINT AS hit5, round(sum(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / rank ELSE 0 END) / count(*), 6) AS mrr5
         FROM rs GROUP BY GROUPING SETS ((docset), (kind), ())""",
-    "link_source": r"""SELECT DISTINCT '/docs/' || path AS link FROM pages WHERE path LIKE '%.md'""",
+    "section_slices_level6": sql_text.LEVEL_6,
+    "fence_heal": sql_text.HEALED,
+    "scaffold_strip": sql_text.STRIPPED,
+    "rule_counters": sql_text.COUNTED,
+    "render_output": sql.with_(*_BATCH, _RANKED, sql_text.rendered(8000)) + "SELECT query_id, output FROM outp",
+    "render_block": sql.with_(*_BATCH, _RANKED, sql_text.rendered(500)) + """SELECT query_id, len(string_split(output, '--- FIN DE SECTION')) - 1 AS blocks,
+        length(output)::INT AS chars FROM outp""",
+    "eval_assertions": sql.with_(_CASES, "queries AS (SELECT case_id::VARCHAR AS query_id, query, docset FROM cs)", *_BATCH, _RANKED, sql_text.rendered(800)) + """
+        , st AS (SELECT CASE WHEN contains(lower(output), lower(coalesce(expected[1], ''))) THEN 'PASS' ELSE 'FAIL' END AS status
+                 FROM cs LEFT JOIN outp ON outp.query_id = cs.case_id::VARCHAR)
+        SELECT status, count(*) AS cases FROM st GROUP BY status""",
+    "normalized_pages": sql_text.NORMALIZED,
+    "link_source": r"""SELECT DISTINCT unnest(regexp_extract_all('[x](/docs/' || path || ') [y](/other/' || path || ') (/docs/' || path || '#part) [z](/docs/a(b/' || path
+        || ') [w](/docs/' || docset || '/index.mdx) [v](/docs/' || docset || '/p).md)(/docs/' || page_stem || '.md)', '\((/docs[^)]*\.md)\)', 1)) AS link FROM pages""",
 }
