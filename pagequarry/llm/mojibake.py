@@ -44,6 +44,8 @@ class GarbleParams:
     #: Bits by which each pair of a stretch that is bytes of UTF-8 throughout is improbable at least: so few characters are
     #: such bytes that three of them in their order are rarer than that by chance.
     utf8_pair_bits: float = 2.5
+    #: The same of a pair with a character that stands for lost bytes: by itself that is enough.
+    lost_bits: float = 4.5
     #: Bits a restored stretch must gain over the garbled one, in all and by pair.
     gain_bits: float = 6.0
     gain_by_pair: float = 1.5
@@ -300,6 +302,8 @@ class Repairer:
                     if _decodable(m.group()):
                         bytes_of_utf8[start + m.start() : start + m.end() - 1] = True
         score = np.where(bytes_of_utf8[at], np.maximum(score, self.params.utf8_pair_bits), score)
+        lost = (codes[at] == REPLACEMENT) | (codes[at + 1] == REPLACEMENT)
+        score = np.where(lost, np.maximum(score, self.params.lost_bits), score)
         bounds = np.searchsorted(at, starts)
         for k in range(len(texts)):
             lo, hi = bounds[k], bounds[k + 1]
@@ -332,9 +336,11 @@ class Repairer:
                 if total >= self.params.least_bits:
                     yield spots[b], spots[e - 1] + 2
 
-    def repair(self, text: str, excursions: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int, str, str]:
-        """Garbled stretches, characters in them, the text restored, the commonest mapping used."""
-        pieces, done, n, chars, names = [], 0, 0, 0, {}
+    def repair(self, text: str, excursions: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int, int, str, str]:
+        """Restored stretches, characters in them, lost characters in those that can't be restored, the text, the commonest
+        mapping used. A text that was cut off within a character has lost nothing but its end."""
+        pieces, done, n, chars, lost, names = [], 0, 0, 0, 0, {}
+        end = len(text.rstrip().rstrip("�"))
         for lo, hi in self.segments(excursions):
             # To the ends of the runs beyond ASCII that it cuts into.
             while lo > done and ord(text[lo]) > 127 and ord(text[lo - 1]) > 127:
@@ -349,12 +355,14 @@ class Repairer:
                 continue
             fixed = self._fix(text[lo:hi], text[lo - 1 : lo], text[hi : hi + 1])
             if fixed is None:
+                lost += text.count("�", lo, min(hi, end))
                 continue
+            lost += fixed[0].count("�", 0, len(fixed[0]) - max(0, hi - end))
             pieces += [text[done:lo], fixed[0]]
             done, n, chars = hi, n + 1, chars + hi - lo
             names[fixed[1]] = names.get(fixed[1], 0) + 1
         pieces.append(text[done:])
-        return n, chars, "".join(pieces), max(names, key=names.get) if names else ""
+        return n, chars, lost, "".join(pieces), max(names, key=names.get) if names else ""
 
     def _fix(self, stretch: str, before: str, after: str) -> tuple[str, str] | None:
         key = (stretch, before, after)
@@ -367,13 +375,6 @@ class Repairer:
         return self.known[key]
 
 
-def lost_characters(text: str) -> int:
-    """Replacement characters that stand for lost bytes: outside of quoted code, and not where a text was cut off."""
-    if "�" not in text:
-        return 0
-    return _CODE.sub("", text).rstrip().rstrip("�").count("�")
-
-
 def pair_statistics(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """Counts over all texts: slot (pairs below SLOTS, characters from there on) and n."""
 
@@ -406,12 +407,12 @@ def fit_pairs(documents: DataFrame, text_col: str = "text") -> PairModel:
 def garbled_texts(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: GarbleParams = GarbleParams()
 ) -> DataFrame:
-    """Documents with garbled stretches: id, restored_stretches, restored_chars, lost_chars, mapping,
+    """Documents with garbled stretches: id, text_hash, restored_stretches, restored_chars, lost_chars, mapping,
     restored_text.
 
-    lost_chars counts replacement characters, whose bytes can't be had back. mapping is the commonest inverse used.
+    lost_chars counts replacement characters in improbable stretches, whose bytes can't be had back. mapping is the commonest inverse used.
     restored_text has every restorable stretch replaced and is otherwise the text as it was. Texts with nothing garbled,
-    null and empty texts yield no row; repeated rows yield one. Samples quoted between backticks are left alone.
+    null and empty texts yield no row; repeated rows yield one, different texts of one id each their own. Samples quoted between backticks are left alone.
 
     Two passes: one gathers the pair statistics of all texts into a table of fixed size, one scores the texts that
     have characters beyond ASCII (the filter runs in the JVM).
@@ -419,26 +420,25 @@ def garbled_texts(
     model = fit_pairs(documents, text_col)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     picked = documents.where(F.col(text_col).rlike(r"[^\x00-\x7F]")).select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = Repairer(sent.value, params)
         for batch in batches:
-            ids, rows = batch.column(0), []
+            ids, hashes, rows = batch.column(0), batch.column(2), []
             for at, texts in grouped(enumerate(x.as_py() for x in batch.column(1))):
                 spots = dict(repairer.scores(texts))
-                for k, text in enumerate(texts):
-                    lost = lost_characters(text)
-                    n, chars, fixed, name = repairer.repair(text, spots[k]) if spots.get(k) else (0, 0, text, "")
+                for k, found in spots.items():
+                    n, chars, lost, fixed, name = repairer.repair(texts[k], found)
                     if n or lost:
-                        rows.append((ids[at[k]].as_py(), n, chars, lost, name, fixed))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            cols = list(zip(*rows)) if rows else [()] * 6
-            names = ["id", "restored_stretches", "restored_chars", "lost_chars", "mapping", "restored_text"]
+                        rows.append((ids[at[k]].as_py(), hashes[at[k]].as_py(), n, chars, lost, name, fixed))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            cols = list(zip(*rows)) if rows else [()] * 7
+            names = ["id", "text_hash", "restored_stretches", "restored_chars", "lost_chars", "mapping", "restored_text"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names)
 
     out = picked.mapInArrow(
-        run, "id bigint, restored_stretches int, restored_chars int, lost_chars int, mapping string, restored_text string"
+        run, "id bigint, text_hash bigint, restored_stretches int, restored_chars int, lost_chars int, mapping string, restored_text string"
     )
-    return out.dropDuplicates(["id"]).withColumnRenamed("id", id_col)
+    return out.dropDuplicates(["id", "text_hash"]).withColumnRenamed("id", id_col)

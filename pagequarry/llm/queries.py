@@ -137,7 +137,7 @@ def p7_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_restored(spark, folder).select("doc_id")
+    return p8_restored(spark, folder).select("doc_id").distinct()
 
 
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:

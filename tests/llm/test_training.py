@@ -436,7 +436,7 @@ def test_garbled_texts(spark):
         want[1100 + n] = f"\ufeff{head} {RIGHT[n % 4]}"
     lost = [(2000, "caf\ufffd na\ufffdve text"), (2001, garble(RIGHT[0], "latin-1", "utf-8"))]
     fine = [(3000, "Shows `Ã©` and `\ufffd` here."), (3001, "├── a\n└── b"), (3002, "\ufeffText"), (3003, "ÉQUIPE ÀÉ ×2 ±3° ½"), (3004, ""), (3005, None), (3006, "cut\ufffd")]
-    df = spark.createDataFrame(sound + bad + lost + fine + bad[:1], "doc_id bigint, text string").withColumn("id", F.lit("clash"))
+    df = spark.createDataFrame(sound + bad + lost + fine + bad[:1] + [(bad[0][0], "sound text")], "doc_id bigint, text string").withColumn("id", F.lit("clash"))
     got = {r.doc_id: r for r in mojibake.garbled_texts(df).collect()}
     assert set(got) == set(want) | {2000, 2001}
     assert {i: got[i].restored_text for i in want} == want
