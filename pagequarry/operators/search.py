@@ -311,6 +311,22 @@ def _defines(text: str, needle: str) -> bool:
     return False
 
 
+_FLAGS = ("whole", "line", "heading", "crumb", "page_word", "page_sub", "title")
+
+
+def _packed() -> Column:
+    """Of a keyword's match: its position in the query, from bit 40 on, its flags from bit 32 on, and its occurrences."""
+    flags = reduce(lambda a, b: a + b, [F.col(f).cast("bigint") * (1 << 32 + i) for i, f in enumerate(_FLAGS)])
+    return F.col("pos").cast("bigint") * (1 << 40) + flags + F.col("occ")
+
+
+def _unpacked(x: Column) -> Column:
+    pos = F.shiftright(x, 40).cast("int")
+    flags = [(F.shiftright(x, 32 + i).bitwiseAND(F.lit(1)) == 1).alias(f) for i, f in enumerate(_FLAGS)]
+    occ = x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("occ")
+    return F.struct(pos.alias("pos"), F.get("ws", pos)["w"].alias("w"), occ, *flags)
+
+
 def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams = RankingParams()) -> DataFrame:
     """query_id, path, sec_no, page, same, score: every section of a query's docset that matches it, by the scores of
     `scored`; same is a hash of what makes two sections equal.
@@ -336,7 +352,6 @@ def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams
     per_query = per_query.withColumn("k", F.size("ws")).withColumn(
         "avg_w", F.aggregate("ws", F.lit(0.0), lambda a, x: a + x["w"]) / F.col("k")
     )
-    flags = ["occ", "whole", "line", "heading", "crumb", "page_word", "page_sub", "title"]
     # A phrase counts where body or heading has it; it comes along as a term before the first.
     needle = F.array_join(F.transform("ws", lambda x: x["needle"]), " ").alias("needle")
     phrases = per_query.where("k > 1").select("query_id", "scope", F.lit(-1).alias("pos"), needle, F.lit(0.0).alias("w"))
@@ -347,12 +362,13 @@ def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams
     if (terms.agg(size.alias("n")).first().n or 0) <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
     hits = found.join(asked, ["scope", "needle"]).where((F.col("pos") >= 0) | (F.col("occ") > 0) | F.col("heading"))
-    # A keyword's rows say of which sections of a query they are; sorted by pos, so that sums run in order.
+    # A keyword's rows say of which sections of a query they are; sorted by pos, so that sums run in order. What is
+    # gathered of each is one number: position, flags and occurrences. Its weight is the query's.
     hits = hits.groupBy("query_id", "path", "sec_no").agg(
-        F.max(F.col("pos") < 0).alias("phrased"),
-        F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "w", *flags)))).alias("terms"),
+        F.max(F.col("pos") < 0).alias("phrased"), F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, _packed()))).alias("terms")
     ).where(F.size("terms") > 0)
     rows = hits.join(per_query.select("query_id", "ws", "k", "avg_w"), "query_id").join(texts, ["path", "sec_no"])
+    rows = rows.withColumn("terms", F.transform("terms", _unpacked))
     return rows.select("query_id", "path", "sec_no", "page", "same", _batch_score(params).alias("score")).where(
         F.col("score").isNotNull()
     )
