@@ -166,7 +166,7 @@ class Confusables:
         usual = usual or {}
         plain = _plain(text)
         if any(c in self.phonetic for c in plain) and not ("ı" in plain and _TURKISH.search(plain)):
-            plain = _LETTERS.sub(self._spell_phonetic, plain)
+            plain = unicodedata.normalize("NFC", _LETTERS.sub(self._spell_phonetic, plain))
         if not _HAS_OTHER.search(plain) and not usual:
             return plain
         settled = set(usual.values())
