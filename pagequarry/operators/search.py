@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import matching as M
+from pagequarry.operators.batch import any_whole, batch_hits
 from pagequarry.params import EmptyQuery, InvalidParam, RankingParams
-from pagequarry.session import BROADCAST_BYTES, shared_checkpoint
 
 #: Bytes of keywords and phrases that one pass over the sections looks for.
 NEEDLE_BYTES = 8 << 20
@@ -283,23 +283,13 @@ class NeedleScan:
             n = body.count(needle)
             in_page = needle in page
             rows.append((
-                scope, path, sec_no, version, needle, min(self.cap, n), n > 0 and _any_whole(body, needle),
+                scope, path, sec_no, version, needle, min(self.cap, n), n > 0 and any_whole(body, needle),
                 n > 0 and bool(page) and _defines(body, needle), needle in heading, needle in crumb,
-                in_page and _any_whole(page, needle), in_page, heading.startswith(needle),
+                in_page and any_whole(page, needle), in_page, heading.startswith(needle),
             ))
         return rows
 
 
-def _any_whole(text: str, needle: str) -> bool:
-    """Whether any of the non-overlapping occurrences from the left is a whole word."""
-    at, size = text.find(needle), len(needle)
-    while at >= 0:
-        if M.is_whole(text, at, at + size):
-            return True
-        at = text.find(needle, at + size)
-    return False
-
-
 def _defines(text: str, needle: str) -> bool:
     """Whether a line starts with the needle; occurrences that overlap one before count here too."""
     at = text.find(needle)
@@ -311,97 +301,12 @@ def _defines(text: str, needle: str) -> bool:
     return False
 
 
-_FLAGS = ("whole", "line", "heading", "crumb", "page_word", "page_sub", "title")
-
-
-def _packed() -> Column:
-    """Of a keyword's match: its position in the query, from bit 40 on, its flags from bit 32 on, and its occurrences."""
-    flags = reduce(lambda a, b: a + b, [F.col(f).cast("bigint") * (1 << 32 + i) for i, f in enumerate(_FLAGS)])
-    return F.col("pos").cast("bigint") * (1 << 40) + flags + F.col("occ")
-
-
-def _unpacked(x: Column) -> Column:
-    pos = F.shiftright(x, 40).cast("int")
-    flags = [(F.shiftright(x, 32 + i).bitwiseAND(F.lit(1)) == 1).alias(f) for i, f in enumerate(_FLAGS)]
-    occ = x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("occ")
-    return F.struct(pos.alias("pos"), F.get("ws", pos)["w"].alias("w"), occ, *flags)
-
-
 def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams = RankingParams()) -> DataFrame:
-    """query_id, path, sec_no, page, same, score: every section of a query's docset that matches it, by the scores of
-    `scored`; same is a hash of what makes two sections equal.
+    """query_id, path, sec_no, page, score: every section of a query's docset that matches it, by the scores of `scored`.
 
-    Matches of (docset, keyword) are joined with the queries' terms, so pairs without a match never exist. Document
-    frequencies are counted by docset and keyword. Sums over keywords run in the keywords' order.
+    Document frequencies are counted by docset and keyword. The rows grow with queries times sections; none is shuffled.
     """
-    terms = query_terms(queries, params)
-    # Read three times below.
-    found = shared_checkpoint(needle_matches(sections, terms, params))
-    same = F.col("same") if "same" in sections.columns else F.sha2(F.concat_ws("\0", "heading_n", M.unicode_trim(F.col("body_n"))), 256)
-    version = [c for c in ("version",) if c in sections.columns]
-    texts = sections.select("path", "sec_no", "docset", "level", "page", "stem", "body_bytes", "has_body", same.alias("same"), *version)
-    texts = once(texts) if version else texts
-    counts = texts.groupBy(F.col("docset").alias("scope")).agg(F.count(F.lit(1)).alias("n"))
-    df = found.where(F.col("occ") > 0).groupBy("scope", "needle").agg(F.count(F.lit(1)).alias("df"))
-    words = terms.select("query_id", "scope", F.posexplode("words").alias("pos", "needle"))
-    weighted = words.join(df, ["scope", "needle"], "left").join(counts, "scope").withColumn(
-        "w", idf(F.col("n"), F.coalesce("df", F.lit(0)), params)
-    )
-    # Of each query: its weights in order, its phrase and how many keywords it has.
-    per_query = weighted.groupBy("query_id", "scope").agg(F.array_sort(F.collect_list(F.struct("pos", "needle", "w"))).alias("ws"))
-    per_query = per_query.withColumn("k", F.size("ws")).withColumn(
-        "avg_w", F.aggregate("ws", F.lit(0.0), lambda a, x: a + x["w"]) / F.col("k")
-    )
-    # A phrase counts where body or heading has it; it comes along as a term before the first.
-    needle = F.array_join(F.transform("ws", lambda x: x["needle"]), " ").alias("needle")
-    phrases = per_query.where("k > 1").select("query_id", "scope", F.lit(-1).alias("pos"), needle, F.lit(0.0).alias("w"))
-    asked = weighted.select("query_id", "scope", "pos", "needle", "w").unionByName(phrases)
-    # The join multiplies rows, so it should run where the matches are, spread evenly: the queries' terms go there, if
-    # their size allows; else both sides are shuffled, and adaptive execution splits what is skewed.
-    size = F.sum(F.lit(64) * F.size("words") + 2 * F.octet_length(F.array_join("words", " ")) + F.octet_length("query_id"))
-    if (terms.agg(size.alias("n")).first().n or 0) <= BROADCAST_BYTES:
-        asked = F.broadcast(asked)
-    hits = found.join(asked, ["scope", "needle"]).where((F.col("pos") >= 0) | (F.col("occ") > 0) | F.col("heading"))
-    # A keyword's rows say of which sections of a query they are; sorted by pos, so that sums run in order. What is
-    # gathered of each is one number: position, flags and occurrences. Its weight is the query's.
-    hits = hits.groupBy("query_id", "path", "sec_no").agg(
-        F.max(F.col("pos") < 0).alias("phrased"), F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, _packed()))).alias("terms")
-    ).where(F.size("terms") > 0)
-    rows = hits.join(per_query.select("query_id", "ws", "k", "avg_w"), "query_id").join(texts, ["path", "sec_no"])
-    rows = rows.withColumn("terms", F.transform("terms", _unpacked))
-    return rows.select("query_id", "path", "sec_no", "page", "same", _batch_score(params).alias("score")).where(
-        F.col("score").isNotNull()
-    )
-
-
-def _batch_score(p: RankingParams) -> Column:
-    def part(flag: str, bonus: float):
-        return lambda x: F.when(x[flag], bonus * x["w"]).otherwise(0.0)
-
-    def add(acc: Column, x: Column) -> Column:
-        acc = acc + x["occ"] * x["w"] + part("whole", p.whole_word_bonus)(x)
-        return acc + part("heading", p.heading_bonus)(x) + part("crumb", p.page_bonus)(x)
-
-    def known(acc: Column, x: Column) -> Column:
-        return acc + part("page_word", p.page_name_bonus)(x) + part("line", p.definition_bonus)(x)
-
-    terms, k, avg, stem = F.col("terms"), F.col("k"), F.col("avg_w"), F.col("stem")
-    count = lambda test: F.size(F.filter(terms, test))
-    score = F.aggregate(terms, F.lit(0.0), add)
-    identity = F.aggregate(terms, F.lit(0.0), known)
-    gate = score + identity > 0
-    everywhere = count(lambda x: x["heading"] | x["crumb"] | x["page_sub"]) == k
-    score = F.when(everywhere, score * p.all_in_headings_mult).otherwise(score)
-    score = score + F.when((k > 1) & F.col("phrased"), p.phrase_bonus * avg).otherwise(0.0)
-    titled = (F.col("level") <= 2) & (count(lambda x: x["heading"]) == k) & (count(lambda x: x["title"] & (x["pos"] == 0)) > 0)
-    score = score + F.when(titled, p.title_prefix_bonus * avg).otherwise(0.0)
-    paged = F.col("page") != ""
-    whole = paged & M.stem_matches(stem, F.transform("ws", lambda x: x["needle"]))
-    single = F.aggregate("ws", F.lit(0.0), lambda a, x: a + F.when(x["needle"] == stem, p.stem_keyword_bonus * x["w"]).otherwise(0.0))
-    identity = identity + F.when(whole, p.stem_query_bonus * avg).when(paged, single).otherwise(0.0)
-    coverage = count(lambda x: (x["occ"] > 0) | x["heading"] | x["crumb"] | x["page_word"]) / k
-    score = score * coverage / (1 + F.sqrt(F.col("body_bytes") / p.len_norm_bytes)) + identity * coverage
-    return F.when(gate, F.when(F.col("has_body"), score).otherwise(score * p.empty_body_factor))
+    return batch_hits(query_terms(queries, params), sections, params, partial(idf, params=params))
 
 
 def batch_search(
@@ -413,8 +318,8 @@ def batch_search(
     """
     if top_k < 1:
         raise InvalidParam("top_k")
-    hits = batch_scored(queries, sections, params)
-    hits = deduplicated(hits, ("query_id",))
+    # Of each shard of a docset come a query's best only; equal sections share one, so they are told apart there.
+    hits = batch_hits(query_terms(queries, params), sections, params, partial(idf, params=params), top_k)
     hits = capped(hits, params.max_sections_per_page, ("query_id",))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*_best_first()))
     return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top_k).select("query_id", "rank", "score", "path", "sec_no")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.functions import matching as M
-from pagequarry.operators import search
+from pagequarry.operators import batch, search
 from pagequarry.operators.slicer import sections_of
 from pagequarry.params import EmptyQuery, InvalidParam, RankingParams
 from pagequarry.sources.markdown import pages_from
@@ -170,3 +170,46 @@ def test_scans_agree():
     for scope in ("d", "e", "none"):
         args = (scope, "p", 1, 0, "ababa b abab", "ab", "b", "aba x")
         assert sorted(one_by_one.of(*args)) == sorted(automaton.of(*args))
+
+
+def shuffled(df):
+    """Rows that the plan's exchanges write when it runs."""
+    df.collect()
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                total += plan.metrics().apply("shuffleRecordsWritten").value()
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+def many(spark):
+    """Sections that all have some word of all queries, some of them equal, on pages with several."""
+    files = {f"p{i}.md": "".join(f"## Part {(i + j) % 7}\n\nshard and key {j * i % 5}\n\n" for j in range(5)) for i in range(16)}
+    asked = ["shard", "key 3", "part shard", "and 2", "p7", "key and shard"] * 5
+    return corpus(spark, files), asked, spark.createDataFrame([(str(i), t, "d") for i, t in enumerate(asked)], "query_id string, query string, docset string")
+
+
+def test_batch_search_shuffles_few_rows(spark):
+    c, asked, q = many(spark)
+    assert search.batch_scored(q, c).count() > 1500
+    assert shuffled(search.batch_search(q, c, 3)) <= 2 * 3 * len(asked)
+    assert shuffled(search.batch_scored(q, c)) == 0
+
+
+def test_shards_and_blocks_give_what_single_queries_give(spark, monkeypatch):
+    c, asked, q = many(spark)
+    for name, most in (("SHARD_ROWS", 6), ("TASK_BYTES", 600), ("BLOCK_BYTES", 30)):
+        monkeypatch.setattr(batch, name, most)
+    got = {}
+    for r in search.batch_search(q, c.union(c), 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.path, r.sec_no))
+    alone = {t: [(r.rank, r.path, r.sec_no) for r in search.rank_sections(c, t, 4).orderBy("rank").collect()] for t in set(asked)}
+    assert got == {str(i): alone[t] for i, t in enumerate(asked) if alone[t]}
