@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators.slicer import Fences
 from pagequarry.params import InvalidParam, TooLarge
+from pagequarry.session import BROADCAST_BYTES, shared_checkpoint
 
 # What readers of the output parse.
 BEGIN = "--- DÉBUT DE SECTION (Score: {score}) ---\n"
@@ -85,7 +86,12 @@ def rendered(hits: DataFrame, sections: DataFrame, queries: DataFrame, max_token
     # Few sections are hits; of rows with one (path, sec_no) the one with the largest hash is shown.
     texts = sections.select("path", "sec_no", F.xxhash64(*columns).alias("__v"), F.struct(*columns).alias("s"))
     names = queries.groupBy("query_id").agg(F.min("query").alias("query"))
-    shown = hits.join(texts, ["path", "sec_no"]).groupBy("query_id", "rank").agg(F.max_by(F.struct("score", "path", "s"), "__v").alias("h"))
+    # Sent to where the sections are, if their size allows: texts without a hit are not shuffled then.
+    hits = shared_checkpoint(hits.select("query_id", "rank", "score", "path", "sec_no"))
+    size = hits.agg(F.sum(F.octet_length("path") + F.octet_length(F.col("query_id").cast("string")) + 64).alias("n")).first().n or 0
+    # Both groups below are within a query's rows, so one shuffle does.
+    shown = texts.join(F.broadcast(hits) if size <= BROADCAST_BYTES else hits, ["path", "sec_no"]).repartition("query_id")
+    shown = shown.groupBy("query_id", "rank").agg(F.max_by(F.struct("score", "path", "s"), "__v").alias("h"))
     rows = shown.select("query_id", "rank", "h.score", "h.path", "h.s.*").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "score", "path", *columns))).alias("hits")
     ).join(names, "query_id").select("query_id", "query", "hits")

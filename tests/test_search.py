@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.functions import matching as M
-from pagequarry.operators import batch, search
+from pagequarry.operators import batch, render, search
 from pagequarry.operators.slicer import sections_of
 from pagequarry.params import EmptyQuery, InvalidParam, RankingParams
 from pagequarry.sources.markdown import pages_from
@@ -213,3 +213,16 @@ def test_shards_and_blocks_give_what_single_queries_give(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r.rank, r.path, r.sec_no))
     alone = {t: [(r.rank, r.path, r.sec_no) for r in search.rank_sections(c, t, 4).orderBy("rank").collect()] for t in set(asked)}
     assert got == {str(i): alone[t] for i, t in enumerate(asked) if alone[t]}
+
+
+def test_rendering_shuffles_no_section_without_a_hit(spark):
+    fields = "path string, sec_no int, level int, heading string, breadcrumb array<string>, body string, url string"
+    sections = spark.createDataFrame([(f"p{i}", 0, 1, f"h{i}", [], f"text {i}", None) for i in range(300)], fields)
+    q = spark.createDataFrame([("1", "a"), ("2", "b")], "query_id string, query string")
+    # As hits come from a search: of a size that isn't known when the plan is made.
+    hits = spark.createDataFrame([("1", 1, 2.0, "p7", 0), ("1", 2, 1.0, "p9", 0), ("2", 1, 3.0, "p7", 0)], "query_id string, rank int, score double, path string, sec_no int")
+    hits = hits.mapInArrow(lambda batches: batches, hits.schema)
+    outputs = render.rendered(hits, sections.union(sections), q)
+    assert shuffled(outputs) <= 20
+    got = {r.query_id: r.output for r in outputs.collect()}
+    assert set(got) == {"1", "2"} and got["1"].index("text 7") < got["1"].index("text 9") and got["1"].count("text 7") == 1
