@@ -31,7 +31,7 @@ def prepared(sections: DataFrame, params: RankingParams = RankingParams()) -> Da
         M.normalized(text("heading"), fold).alias("heading_n"), M.normalized(text("body"), fold).alias("body_n"),
         M.normalized(F.array_join(F.coalesce("breadcrumb", F.array().cast("array<string>")), " "), fold).alias("crumb_n"),
         M.normalized(text("page"), fold).alias("page_n"), text("page").alias("page"), F.lower(text("page_stem")).alias("stem"),
-        F.octet_length(text("body")).alias("body_bytes"), (M.unicode_trim(text("body")) != "").alias("has_body"),
+        F.octet_length(text("body")).alias("body_bytes"), F.regexp_like(text("body"), F.lit(r"(?U)\S")).alias("has_body"),
         *[c for c in ("docset",) if c in sections.columns],
     )
     return rows.withColumn("version", F.xxhash64("level", "heading_n", "crumb_n", "page", "stem", "body_n"))
