@@ -301,12 +301,15 @@ def _defines(text: str, needle: str) -> bool:
     return False
 
 
-def batch_scored(queries: DataFrame, sections: DataFrame, params: RankingParams = RankingParams()) -> DataFrame:
+def batch_scored(
+    queries: DataFrame, sections: DataFrame, params: RankingParams = RankingParams(), digits: int | None = None, pages: bool = True
+) -> DataFrame:
     """query_id, path, sec_no, page, score: every section of a query's docset that matches it, by the scores of `scored`.
 
     Document frequencies are counted by docset and keyword. The rows grow with queries times sections; none is shuffled.
+    Scores are rounded to digits, if given, and without pages there is no page: rows take less time so.
     """
-    return batch_hits(query_terms(queries, params), sections, params, partial(idf, params=params))
+    return batch_hits(query_terms(queries, params), sections, params, partial(idf, params=params), digits=digits, pages=pages)
 
 
 def batch_search(

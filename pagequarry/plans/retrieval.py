@@ -208,8 +208,7 @@ def search_folded(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- many queries
 def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
-    hits = search.batch_scored(table(spark, folder, "queries"), _sections(spark, folder))
-    return hits.select("query_id", "path", "sec_no", F.round("score", 6).alias("score"))
+    return search.batch_scored(table(spark, folder, "queries"), _sections(spark, folder), digits=6, pages=False)
 
 
 def batch_search(spark: SparkSession, folder: str) -> DataFrame:

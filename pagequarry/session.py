@@ -29,6 +29,17 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_shuffles(df: DataFrame) -> None:
+    """Removes the files of df's own shuffles, once nothing will run it again; else they stay until the driver happens to
+    collect its garbage."""
+    cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    plan = df._jdf.queryExecution().executedPlan()
+    if cleaner.isEmpty() or plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec":
+        return
+    for shuffle in list(plan.context().shuffleIds()):
+        cleaner.get().doCleanupShuffle(shuffle, True)
+
+
 def content_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column, by a distributed sum."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

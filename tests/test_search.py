@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagequarry import session
 from pagequarry.functions import matching as M
 from pagequarry.operators import batch, render, search
 from pagequarry.operators.slicer import sections_of
@@ -215,6 +217,28 @@ def test_shards_and_blocks_give_what_single_queries_give(spark, monkeypatch):
     assert got == {str(i): alone[t] for i, t in enumerate(asked) if alone[t]}
 
 
+def test_all_pairs_leave_no_shuffle_on_disk(spark, monkeypatch):
+    c, _, q = many(spark)
+    packed = []
+    monkeypatch.setattr(batch, "drop_shuffles", lambda df: (packed.append(df), session.drop_shuffles(df)))
+    scored = search.batch_scored(q, c.union(c), digits=6, pages=False)
+    ids = list(packed[0]._jdf.queryExecution().executedPlan().context().shuffleIds())
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    assert ids and not any(tracker.containsShuffle(i) for i in ids)
+    assert scored.columns == ["query_id", "path", "sec_no", "score"]
+    # Rounded in the task as Spark rounds, each section once, equal ones too.
+    key = ["query_id", "path", "sec_no"]
+    alone = search.batch_scored(q, c).select(*key, F.round("score", 6).alias("score"))
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_rounding_is_that_of_spark(spark):
+    x = [0.0, 5e-7, 4.999999e-7, 1.0000005, 2.0000015, 1.0000004999999999, 0.1234565, 123.4567885, 7.3999995, 1e10 / 3, 98765.4321015, 2.5e15, 1e22]
+    x += [(2 * i + 1) / 2e6 for i in range(2000)] + [i / 7 for i in range(2000)]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+    assert batch.rounded(np.array(x), 6).tolist() == want
+
+
 def test_rendering_shuffles_no_section_without_a_hit(spark):
     fields = "path string, sec_no int, level int, heading string, breadcrumb array<string>, body string, url string"
     sections = spark.createDataFrame([(f"p{i}", 0, 1, f"h{i}", [], f"text {i}", None) for i in range(300)], fields)
